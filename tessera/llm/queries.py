@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, flac, langid, packing, sharding, simhash, topk
+from tessera.llm import bpe, flac, html_extract, langid, packing, pii, sharding, simhash, topk
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = flac.encode_media(table(spark, sf_dir, "documents"), "doc_id", "text")
     return flac.media_digest(media, "doc_id")
@@ -33,6 +37,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs, "text"), "doc_id", "text")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
@@ -67,7 +76,7 @@ SELECT * FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_flac, op3_langid, op4_packing, op6_sharding, op8_bpe, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_html, op2_flac, op3_langid, op4_packing, op5_pii, op6_sharding, op8_bpe, op9_simhash, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
