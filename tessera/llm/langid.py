@@ -248,6 +248,18 @@ def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def keep(df: DataFrame, model: Model, text_col: str, min_score: float) -> DataFrame:
+    """The rows of df whose text has a language with at least the score; rows and columns stay as they are."""
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names, score, _, _ = predict_batch(shipped.value, batch.column(place).to_pylist())
+        yield batch.filter(pa.array([n != UND and s >= min_score for n, s in zip(names, score, strict=True)], pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
 def spans(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """(id, start, stop, lang): the spans of one language of each text, in code points of the lower-cased text."""
     kind = df.schema[id_col].dataType.simpleString()

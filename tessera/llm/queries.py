@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, flac, html_extract, langid, packing, pii, sharding, simhash, topk
+from tessera.llm import bpe, flac, html_extract, langid, packing, pii, sharding, simhash, suffix_dedup, topk
 from tessera.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), "doc_id", "text", 16)
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path("word_bpe_49k.json"))
 
@@ -75,8 +79,14 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_flac, op3_langid, op4_packing, op5_pii, op6_sharding, op8_bpe, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_html, op2_flac, op3_langid, op4_packing, op5_pii, op6_sharding, op7_suffix, op8_bpe, op9_simhash, op10_topk, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
