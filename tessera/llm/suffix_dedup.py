@@ -47,7 +47,7 @@ LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams of a string
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 64 << 20  # text whose anchors meet in one bucket, about
+BUCKET_BYTES = 12 << 20  # text whose anchors meet in one bucket, about
 SHARD_BYTES = 1 << 20  # context bytes of one suffix array
 NO_ID = np.int64(2**63 - 1)
 
@@ -233,31 +233,51 @@ class Anchors:
     least: np.ndarray  # of the string that starts at each place; 0 where none may start
 
 
+CHUNK = 1 << 20  # bytes whose grams are hashed together
+
+
+def _chunks(block: Block) -> Iterator[tuple[int, int]]:
+    """Runs of whole documents of about CHUNK bytes: (from, to) in the text."""
+    end = np.cumsum(block.size)
+    at = 0
+    while at < len(block.text):
+        i = int(np.searchsorted(end, at + CHUNK, "right"))
+        to = int(end[i - 1]) if i and end[i - 1] > at else int(end[min(i, len(end) - 1)])
+        yield at, to
+        at = to
+
+
 def anchors(block: Block) -> Anchors:
     """The block's anchors, by place."""
-    text, n = block.text, len(block.text)
-    if n < LENGTH:
-        none = np.zeros(0, np.int64)
-        return Anchors(none, none.astype(np.uint64), none, none)
-    eight = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(text), 0, (1,)).copy()
-    h = eight[:-16] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:-8] + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h = (h ^ eight[16:]) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    rank = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
-    least = _slide(rank, SPAN, np.minimum)
+    n = len(block.text)
+    strings = np.zeros(n + 1, np.int8)  # where a string may start: in long documents with an id, LENGTH before the end at least
     long = np.flatnonzero((block.size >= LENGTH) & block.sound)
     start = block.start
-    mark = np.zeros(len(least) + 1, np.int64)
-    mark[start[long]] += 1
-    np.add.at(mark, start[long] + block.size[long] - LENGTH + 1, -1)
-    least[np.cumsum(mark[:-1]) == 0] = 0
-    # a gram is an anchor if it is the least of some string that holds it
-    most = _slide(np.concatenate([np.zeros(SPAN - 1, np.uint32), least, np.zeros(SPAN - 1, np.uint32)]), SPAN, np.maximum)
-    place = np.flatnonzero(most == rank)
-    return Anchors(place, h[place], rank, least)
+    strings[start[long]] += 1
+    np.add.at(strings, start[long] + block.size[long] - LENGTH + 1, -1)
+    strings = np.cumsum(strings, dtype=np.int8)[:-1] > 0
+    rank, least = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, b in _chunks(block):
+        if b - a < LENGTH:
+            continue
+        eight = np.ndarray((b - a - 7,), "<u8", np.ascontiguousarray(block.text[a:b]), 0, (1,)).copy()
+        h = eight[:-16] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:-8] + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h = (h ^ eight[16:]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        r = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+        low = _slide(r, SPAN, np.minimum)
+        low = np.where(strings[a : a + len(low)], low, np.uint32(0))
+        # a gram is an anchor if it is the least of some string that holds it
+        most = _slide(np.concatenate([np.zeros(SPAN - 1, np.uint32), low, np.zeros(SPAN - 1, np.uint32)]), SPAN, np.maximum)
+        place = np.flatnonzero(most == r)
+        rank[a : a + len(r)], least[a : a + len(low)] = r, low
+        places.append(place + a)
+        hashes.append(h[place])
+    return Anchors(np.concatenate(places), np.concatenate(hashes), rank, least)
 
 
 def _owner(block: Block, place: np.ndarray) -> np.ndarray:
@@ -294,24 +314,22 @@ def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
                 bucket = _by_bucket(h, bits)
                 names, first = np.unique(bucket, return_index=True)
                 parts = np.split(h, first[1:])
-                # within a bucket 40 bits tell hashes apart; a clash only makes a context more
-                cut = [((p << np.uint64(bits)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5] for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([number] * len(names), pa.int64()), pa.array([np.ascontiguousarray(c).tobytes() for c in cut], pa.binary())], ["bucket", "block", "hashes"])
+                cut = [_short(p, bits).tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([number] * len(names), pa.int64()), pa.array(cut, pa.binary())], ["bucket", "block", "hashes"])
 
     return blocks.mapInArrow(run, "bucket long, block long, hashes binary")
 
 
-def _forty(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return raw.view("<u8").ravel()
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits after the bucket's: they tell hashes of a bucket apart; a clash only makes a context more."""
+    return ((h << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
 
 
 def shared_rows(rows: DataFrame, buckets: int) -> DataFrame:
     """(block, bucket, hashes): hashes that two blocks or more have, for each of these blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_forty(d) for d in pdf["hashes"]]
+        parts = [np.frombuffer(d, "<u4") for d in pdf["hashes"]]
         size = np.array([len(p) for p in parts])
         h, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
         by = np.argsort(h, kind="stable")
@@ -321,7 +339,7 @@ def shared_rows(rows: DataFrame, buckets: int) -> DataFrame:
         same[:-1] |= same[1:]
         keep = np.sort(by[same])
         got = np.split(h[keep], np.searchsorted(row[keep], np.arange(1, len(parts))))
-        out = [np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for g in got]
+        out = [g.tobytes() for g in got]
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "hashes": out})[[len(o) > 0 for o in out]]
 
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, "block long, bucket long, hashes binary")
@@ -344,8 +362,8 @@ def contexts(block: Block, replies: list[tuple[int, bytes]], bits: int) -> Conte
     h = found.hash
     shared = np.isin(h, local_shared(block, found.place, h))
     if replies:
-        full = np.concatenate([(np.uint64(b) << np.uint64(40)) | _forty(d) for b, d in replies])
-        mine = (_by_bucket(h, bits).astype(np.uint64) << np.uint64(40)) | ((h << np.uint64(bits)) >> np.uint64(24))
+        full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, "<u4") for b, d in replies])
+        mine = (_by_bucket(h, bits).astype(np.uint64) << np.uint64(32)) | _short(h, bits)
         shared |= np.isin(mine, full)
     place, h = found.place[shared], h[shared]
     rank = found.rank[place]
@@ -374,13 +392,24 @@ def context_groups(block: Block, c: Contexts) -> tuple[np.ndarray, np.ndarray]:
     return group, np.array(first, np.int64)
 
 
-ENTRY = np.dtype([("key", "<u8"), ("name", "<u8"), ("least", "<i8"), ("most", "<i8"), ("lead", "u1"), ("size", "u1")])
-RUN = np.dtype([("name", "<u8"), ("from", "u1"), ("to", "u1"), ("least", "<i8")])
+ENTRY = np.dtype([("key", "<u8"), ("name", "<u4"), ("least", "<i8"), ("most", "<i8"), ("lead", "u1"), ("size", "u1")])
+RUN = np.dtype([("name", "<u4"), ("from", "u1"), ("to", "u1"), ("least", "<i8")])
+
+
+def _squeezed(entry: np.ndarray) -> bytes:
+    """Entries column by column, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(entry[f].tobytes() for f in ENTRY.names))
 
 
-def _names(c: Contexts, first: np.ndarray) -> np.ndarray:
-    """Numbers of a block's classes of equal contexts; they come back with the answers."""
-    return np.arange(len(first), dtype=np.uint64)
+def _entries(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at = len(raw) // ENTRY.itemsize, 0
+    entry = np.zeros(n, ENTRY)
+    for f in ENTRY.names:
+        kind = ENTRY[f]
+        entry[f] = np.frombuffer(raw, kind, n, at)
+        at += n * kind.itemsize
+    return entry
 
 
 def context_rows(blocks: DataFrame, bits: int) -> DataFrame:
@@ -396,7 +425,7 @@ def context_rows(blocks: DataFrame, bits: int) -> DataFrame:
                     continue
                 ids = block.ids[c.doc]
                 entry = np.zeros(len(first), ENTRY)
-                entry["key"], entry["name"], entry["lead"], entry["size"] = c.key[first], _names(c, first), c.lead[first], c.size[first]
+                entry["key"], entry["name"], entry["lead"], entry["size"] = c.key[first], np.arange(len(first)), c.lead[first], c.size[first]
                 entry["least"], entry["most"] = NO_ID, -NO_ID
                 np.minimum.at(entry["least"], group, ids)
                 np.maximum.at(entry["most"], group, ids)
@@ -407,8 +436,8 @@ def context_rows(blocks: DataFrame, bits: int) -> DataFrame:
                 for rows in np.split(by, at[1:]):
                     size = c.size[first[rows]]
                     where = np.repeat(c.start[first[rows]], size) + _within(size)
-                    out_e.append(entry[rows].tobytes())
-                    out_b.append(block.text[where].tobytes())
+                    out_e.append(_squeezed(entry[rows]))
+                    out_b.append(zstandard.ZstdCompressor(level=3).compress(block.text[where].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([number] * len(names), pa.int64()), pa.array(out_e, pa.binary()), pa.array(out_b, pa.binary())], ["bucket", "block", "entries", "bytes"])
 
     return blocks.mapInArrow(run, "bucket long, block long, entries binary, bytes binary")
@@ -457,9 +486,10 @@ def answer_rows(rows: DataFrame, buckets: int) -> DataFrame:
     """(block, runs): for the contexts of each block, the runs of strings that a smaller id has."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = [np.frombuffer(e, ENTRY) for e in pdf["entries"]]
+        entries = [_entries(e) for e in pdf["entries"]]
         texts: list[bytes] = []
-        for e, raw in zip(entries, pdf["bytes"], strict=True):
+        for e, data in zip(entries, pdf["bytes"], strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(data)
             end = np.cumsum(e["size"].astype(np.int64))
             texts += [raw[b - s : b] for b, s in zip(end.tolist(), e["size"].tolist(), strict=True)]
         entry = np.concatenate(entries)
@@ -504,8 +534,9 @@ def _marked_blocks(df: DataFrame, id_col: str, text_col: str, others: list[str])
     shared = shared_rows(anchor_rows(blocks, bits), buckets)
     replies = stored(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "hashes")).alias("replies")), "replies")
     asked = blocks.join(replies, "block", "left").select("block", "data", "replies")
-    answers = stored(answer_rows(context_rows(asked, bits), buckets).groupBy("block").agg(F.collect_list("runs").alias("answers")), "answers")
-    return blocks.join(replies, "block", "left").join(answers, "block", "left").select("block", "data", "replies", "answers"), bits
+    # not written: in one plan the blocks are dealt out once, for the contexts and for the cut
+    answers = answer_rows(context_rows(asked, bits), buckets).groupBy("block").agg(F.collect_list("runs").alias("answers"))
+    return asked.join(answers, "block", "left").select("block", "data", "replies", "answers"), bits
 
 
 def _cut(df: DataFrame, id_col: str, text_col: str, emit, schema, others: list[str] | None = None) -> DataFrame:
