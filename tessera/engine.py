@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import schema as S
-from tessera.functions import sinks
+from tessera.functions import geo, sinks
 from tessera.operators import lookups
 from tessera.operators.store import Store
 from tessera.plans import sparql
@@ -18,6 +18,7 @@ class Engine:
         self.spark, self.store = spark, Store(spark, path) if path else None
         self._triples = triples
         self.warnings: list[str] = []
+        geo.register(spark)
         self.refresh()
 
     def refresh(self) -> None:

@@ -4,18 +4,19 @@ Geometries are little-endian WKB in longitude and latitude. Functions on whole
 columns are Arrow-batched; bounding boxes are plain columns, so filters and grid
 joins on them stay inside code generation. Relations are worked out on points,
 segments and rings: a geometry's points are cut at all crossings with the other
-one, and each piece is inside, on the boundary or outside. Set operations on
-polygons (intersection, union, difference) are not there yet and raise.
+one, and each piece is inside, on the boundary or outside. Set operations are in
+the overlay module.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.schema import TesseraError
@@ -521,6 +522,34 @@ def construct(name: str, c: Column) -> Column:
     return _column(lambda v: to_wkb(CONSTRUCTORS[name](from_wkb(v))), "binary")(c)
 
 
+SET_OPERATIONS = ("intersection", "union", "difference", "symDifference")
+
+
+def _combined(name: str):
+    from tessera.functions.overlay import overlay
+
+    return _pair(lambda x, y: to_wkb(overlay(name, x, y)), "binary")
+
+
+def combine(name: str, a: Column, b: Column) -> Column:
+    """A set operation on two columns of geometries; null if either is."""
+    return _combined(name)(a, b)
+
+
+def register(spark: SparkSession) -> None:
+    """st_ functions over WKB for Spark SQL texts."""
+    one = {"st_astext": (to_wkt, "string"), "st_asgeojson": (lambda g: json.dumps(to_geojson(g)), "string"), "st_geometrytype": (lambda g: g[0], "string")}
+    one |= {f"st_{n.lower()}": (lambda g, f=f: to_wkb(f(g)), "binary") for n, f in CONSTRUCTORS.items()}
+    for name, (fn, kind) in one.items():
+        spark.udf.register(name, _column(lambda v, fn=fn: fn(from_wkb(v)), kind))
+    spark.udf.register("st_geomfromtext", _column(lambda v: to_wkb(parse_wkt(strip_crs(v))), "binary"))
+    for name, fn in RELATIONS.items():
+        spark.udf.register(f"st_{name[2:].lower()}", _pair(fn, "boolean"))
+    spark.udf.register("st_distance", _pair(distance, "double"))
+    for name in SET_OPERATIONS:
+        spark.udf.register(f"st_{name.lower()}", _combined(name))
+
+
 def parse_bbox(text: str) -> tuple[float, float, float, float]:
     """minx,miny,maxx,maxy."""
     fields = text.split(",")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.functions import geo, sinks, terms
-from tessera.operators import lookups, validate
+from tessera.operators import lookups, modules, validate
 from tessera.plans import sparql
-from tessera.sources import tabular
+from tessera.sources import linked, rdf, tabular
 from tessera.sources.tabular import BASE, C, P
 
 PREFIX = f"PREFIX p: <{P}> PREFIX c: <{C}> PREFIX e: <{BASE}> PREFIX rdf: <{S.RDF}> PREFIX rdfs: <{S.RDFS}> PREFIX geof: <{S.GEOF}> PREFIX geo: <{S.GEO}> PREFIX uom: <{S.UOM}> "
@@ -117,6 +117,37 @@ ORACLES["object_split"] = (
 )
 
 
+# sources: every nation as a document of its own
+_FORMS = {
+    "turtle": f'<{BASE}nation/%d> <{P}n_name> "%s" ; <{P}n_regionkey> <{BASE}region/%d> .',
+    "jsonld": f'{{"@context": {{"@vocab": "{P}"}}, "@id": "{BASE}nation/%d", "n_name": "%s", "n_regionkey": {{"@id": "{BASE}region/%d"}}}}',
+    "xml": f'<r:RDF xmlns:r="{S.RDF}" xmlns:p="{P}"><r:Description r:about="{BASE}nation/%d"><p:n_name>%s</p:n_name><p:n_regionkey r:resource="{BASE}region/%d"/></r:Description></r:RDF>',
+}
+_NATIONS = f"SELECT '{BASE}nation/' || n_nationkey AS subject, '{P}n_name' AS predicate, CAST(NULL AS VARCHAR) AS object_iri, n_name AS object_string FROM nation UNION ALL SELECT '{BASE}nation/' || n_nationkey, '{P}n_regionkey', '{BASE}region/' || n_regionkey, NULL FROM nation"
+
+
+def _source(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = F.format_string(_FORMS[kind], "n_nationkey", "n_name", "n_regionkey")
+        files = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("path"), F.encode(text, "utf-8").alias("content"))
+        return terms.split_terms(rdf.parse_files(files, lambda name, doc: linked.parse_any(doc, kind))).select("subject", "predicate", "object_iri", "object_string")
+
+    return run
+
+
+for _kind in _FORMS:
+    QUERIES[f"source_{_kind}"], ORACLES[f"source_{_kind}"] = _source(_kind), _NATIONS
+
+
+def _instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = modules.instances(tabular.triples(spark, sf_dir, "nation", vocabulary=True), [C + "Nation"], P)
+    return made.select("subject", F.get_json_object("instance", "$.n_name[0]").alias("name"))
+
+
+QUERIES["module_instances"] = _instances
+ORACLES["module_instances"] = f"SELECT '{BASE}nation/' || n_nationkey AS subject, n_name AS name FROM nation"
+
+
 # builds: the first has orders with an even or a threefold key, the second those with a threefold or a fivefold one
 def _builds(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.regexp_extract("subject", "([0-9]+)$", 1).cast("long")
@@ -195,6 +226,18 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["geo_relations_matrix"] = _matrix
 QUERIES["geo_constructors"] = lambda spark, sf_dir: spark.createDataFrame([(i, w) for i, w in enumerate(_SHAPES)], "i int, wkt string").withColumn("g", geo.st_geomfromtext(F.col("wkt"))).select("i", *[geo.st_astext(geo.construct(n, F.col("g"))).alias(n) for n in geo.CONSTRUCTORS], geo.st_geometrytype(F.col("g")).alias("kind"))
 
+_BOX = '"POLYGON((-90 -45, 0 -45, 0 45, -90 45, -90 -45))"^^geo:wktLiteral'
+_sparql("geo_set_operations", ("supplier",), f'SELECT ?s WHERE {{ ?s p:at ?g FILTER(geof:sfWithin(?g, geof:difference({_BOX}, "POLYGON((-50 -90, 90 -90, 90 90, -50 90, -50 -90))"^^geo:wktLiteral)) || geof:sfIntersects(geof:intersection(?g, {_BOX}), "POLYGON((-20 -90, 90 -90, 90 90, -20 90, -20 -90))"^^geo:wktLiteral)) }}', _bgp("t0.subject AS s", _POINT, "t0.lat BETWEEN -45 AND 45 AND (t0.lon > -90 AND t0.lon < -50 OR t0.lon BETWEEN -20 AND 0)"), points=True)
+
+
+def _overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = spark.createDataFrame([(i, w) for i, w in enumerate(_SHAPES)], "i int, wkt string").withColumn("g", geo.st_geomfromtext(F.col("wkt")))
+    both = g.select(F.col("i").alias("a"), F.col("g").alias("x")).crossJoin(g.select(F.col("i").alias("b"), F.col("g").alias("y")))
+    return both.select("a", "b", *[geo.st_astext(geo.combine(n, F.col("x"), F.col("y"))).alias(n) for n in geo.SET_OPERATIONS])
+
+
+QUERIES["geo_overlays"] = _overlays
+
 # sinks
 _N = f"CASE WHEN object_iri IS NOT NULL THEN '<' || object_iri || '>' WHEN object_float IS NOT NULL THEN '\"' || CAST(object_float AS VARCHAR) || '\"^^<{S.XSD}double>' ELSE '\"' || object_string || '\"' END"
 _frame("export_ntriples", ("nation", "supplier"), lambda t: t.select(terms.ntriples_line().alias("line")), f"SELECT '<' || subject || '> <' || predicate || '> ' || {_N} || ' .' AS line FROM triples")

@@ -515,6 +515,10 @@ class Translation:
                 if a.name[len(S.GEOF) :].lower() == name.lower():
                     used, args = self.geometries(a, 1)
                     return used, geo.construct(name, args[0])
+            for name in geo.SET_OPERATIONS:
+                if a.name[len(S.GEOF) :].lower() == name.lower():
+                    used, args = self.geometries(a, 2)
+                    return used, geo.combine(name, *args)
         raise UnsupportedSparql("this geometry argument is not supported")
 
     def result(self, default_limit: int = 0) -> DataFrame:

@@ -5,8 +5,9 @@ Files are read by Spark's binary source and parsed in parallel, one file a row.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -171,21 +172,29 @@ def parse_turtle(text: str, base: str = "") -> list[tuple]:
 SCHEMA = "path string, line int, s_kind string, s string, p string, o_kind string, o string, o_datatype string, o_lang string"
 
 
-def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """Terms of all .ttl, .turtle and .nt files below a path; blank nodes are kept apart by file."""
+def read_files(spark: SparkSession, path: str, suffixes: str, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """Terms of the files below a path whose names end in one of the suffixes; parse takes name and text.
+
+    Blank nodes are kept apart by file, with labels that a repeated task gives again.
+    An empty file has no terms; a file that cannot be parsed raises with its name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.filter(F.col("path").rlike(r"\.(ttl|turtle|nt)$") & ~F.col("path").rlike(r"/\.sal/"))
+    return parse_files(files.filter(F.col("path").rlike(rf"\.({suffixes})$") & ~F.col("path").rlike(r"/\.sal/")), parse)
+
+
+def parse_files(files: DataFrame, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """Terms of documents in a frame of (path, content as UTF-8 bytes), one document a row; null content is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows = parse_turtle(bytes(content).decode("utf-8"), base)
-                except TesseraError as e:
+                    rows = parse(name, bytes(content or b"").decode("utf-8-sig"))
+                except (TesseraError, UnicodeDecodeError, RecursionError) as e:
                     raise InvalidRdf(f"{name}: {e}") from e
                 out = pd.DataFrame(rows, columns=["line", "s_kind", "s", "p", "o_kind", "o", "o_datatype", "o_lang"], dtype=object)
                 out.insert(0, "path", name)
-                tag = f"{abs(hash(name)) % 10**8}"
+                tag = hashlib.sha256(name.encode()).hexdigest()[:12]
                 for kind, c in (("s_kind", "s"), ("o_kind", "o")):
                     mine = out[kind] == "bnode"
                     out.loc[mine, c] = "_:f" + tag + "_" + out.loc[mine, c].str[2:]
@@ -195,6 +204,11 @@ def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def read_turtle(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """Terms of all .ttl, .turtle and .nt files below a path."""
+    return read_files(spark, path, "ttl|turtle|nt", lambda name, text: parse_turtle(text, base))
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """Terms of an N-Triples file or folder, line by line inside the JVM: files are split among tasks."""
     return ntriples_terms(spark.read.text(path))
