@@ -33,6 +33,7 @@ TABLE_BITS = 16  # n-gram hash buckets
 SAMPLE_ROWS = 4_000  # labelled rows that the model is fitted on, at most, those with the least hash of their id
 SWITCH = 12.0  # cost of a change of language between two words
 SMOOTH = 0.5
+SCORED_CHARS = 1 << 20  # characters whose n-grams are looked up together; one longer text is looked up alone
 GRAMS = (1, 2, 3, 4)
 
 # First code points of script ranges, in order, and the script that starts there.
@@ -211,13 +212,31 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
     return fit(counts, scripts, languages, switch)
 
 
+def scored_words(model: Model, texts: list[str | None]) -> tuple[np.ndarray, Words]:
+    """(word, language) scores and the words of a batch, of which only the first letters are kept.
+
+    N-grams are looked up for about SCORED_CHARS characters at a time, so memory grows with the words, not the letters.
+    """
+    ends = np.cumsum([len(t or "") + 1 for t in texts])
+    run = ends // SCORED_CHARS
+    cuts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(texts)]])
+    scores, parts, chars = [], [], 0
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        w = words_of(texts[a:b])
+        scores.append(model.word_scores(w))
+        parts.append((w.place[w.start] + chars, w.size, w.text + a, w.script))
+        chars += sum(len((t or "").lower()) + 1 for t in texts[a:b])
+    place, size, text, script = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return np.concatenate(scores), Words([], place, np.arange(len(place)), size, text, script)
+
+
 def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, Words, np.ndarray]:
     """Language and score of each text; the words and their labels."""
-    w = words_of(texts)
     n, k = len(texts), len(model.languages)
     if not k:
+        w = words_of(texts)
         return [UND] * n, np.zeros(n), w, np.zeros(len(w.start), np.int16)
-    score = model.word_scores(w)
+    score, w = scored_words(model, texts)
     label = viterbi(score, w.text, n, model.switch)
     letters = np.zeros((n, k))
     np.add.at(letters, (w.text, label), w.size)
