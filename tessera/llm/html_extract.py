@@ -56,6 +56,11 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe newsletter paywall sidebar rail menu nav navbar navigation navi breadcrumb breadcrumbs topbar toolbar masthead header footer copyright legal comment comments commentlist respond reply replies discussion disqus share sharing social related recommended recommendations widget widgets login signin signup search pagination pager skip toc tags hidden".split()
 )
+DISCUSSION = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+STATES = frozenset("no not has have with without is hide".split())  # "no-comments": a word on the layout, not a name of the element
+OWN_PARTS = frozenset("entry post article story content page".split())  # "entry-header" in an article is the article's own
+HEADINGS = frozenset("header masthead".split())
+NONE, WEAK, TALK, STRONG = range(4)  # how an element is marked as chrome: by a layout word or form, as a discussion, by tag, role or hidden
 CLOSED_BY_BLOCK = frozenset(("p",))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -83,38 +88,74 @@ class Page:
     has_main: bool
 
 
-def _chrome(name: str, attributes: str, inside_main: bool) -> bool:
+def _named_chrome(value: str, inside_main: bool) -> int:
+    """The mark that the names of a class or id give."""
+    mark = NONE
+    for name in value.split():
+        parts = PART.findall(name)
+        if not parts or len(parts) > 1 and parts[0] in STATES:
+            continue
+        found = CHROME_NAMES.intersection(parts)
+        if inside_main and not OWN_PARTS.isdisjoint(parts):
+            found -= HEADINGS
+        if found:
+            mark = max(mark, TALK if found & DISCUSSION else WEAK)
+    return mark
+
+
+def _chrome(name: str, attributes: str, inside_main: bool) -> int:
+    mark = NONE
     if name in CHROME:
-        return True
+        mark = WEAK if name in ("form", "fieldset") else STRONG
     if name == "header" and not inside_main:
-        return True
+        mark = STRONG
     if not attributes:
-        return False
+        return mark
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role":
             if value.strip() in CHROME_ROLES:
-                return True
+                return STRONG
         elif key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return STRONG
         elif key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif name not in ("article", "main", "body", "html") and not CHROME_NAMES.isdisjoint(PART.findall(value)):
-            return True
-    return False
+                return STRONG
+        elif name not in ("article", "main", "body", "html"):
+            mark = max(mark, _named_chrome(value, inside_main))
+    return mark
 
 
 def parse(html: str | None) -> Page:
-    """Tokens and text blocks of a page, in one pass."""
+    """Tokens and text blocks of a page. A weak mark is void if its element holds a main element, or most of the page's text."""
+    page, marked = _parse(html, frozenset())
+    void = set()
+    if marked:
+        ends = [0]
+        for b in page.blocks:
+            ends.append(ends[-1] + b.size)
+        void = {i for i, (kind, a, b, main) in marked.items() if main or kind == WEAK and 2 * (ends[b] - ends[a]) > ends[-1]}
+    return _parse(html, frozenset(void))[0] if void else page
+
+
+def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list]]:
+    """A page, and its weakly marked elements by number: mark, first and last block, whether a main element is inside."""
     page = Page([], set(), [], False)
+    marked: dict[int, list] = {}
     if not html:
-        return page
-    # the open block elements: name, hash of the path to it, whether it is chrome, whether it is in an article or main element
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        return page, marked
+    opened = 0
+    # the open block elements: name, hash of the path to it, whether it is chrome, whether it is in an article or main element, its number if weakly marked
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
     pieces: list[str] = []
     linked, link_depth, at, n = 0, 0, 0, len(html)
 
+    def leave(i: int) -> None:
+        for element in stack[i:]:
+            if element[4]:
+                marked[element[4]][2] = len(page.blocks)
+        del stack[i:]
+
     def flush() -> None:
         nonlocal linked
         if not pieces:
@@ -123,7 +164,7 @@ def parse(html: str | None) -> Page:
         pieces.clear()
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
-            _, path, chrome, main = stack[-1]
+            _, path, chrome, main, _ = stack[-1]
             token = 0
             if not main or chrome:
                 token = xxhash.xxh64_intdigest(text, path & (1 << 63) - 1)
@@ -176,28 +217,40 @@ def parse(html: str | None) -> Page:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     page.tokens.append(~stack[i][1] & (1 << 64) - 1)
-                    del stack[i:]
+                    leave(i)
                     break
             link_depth = 0 if name in ("nav", "li", "div", "p") else link_depth
             continue
         if stack[-1][0] in CLOSED_BY_BLOCK:
-            stack.pop()
+            leave(len(stack) - 1)
         closes = CLOSES.get(name, ())
         if stack[-1][0] in closes:
-            stack.pop()
-        _, path, chrome, main = stack[-1]
+            leave(len(stack) - 1)
+        _, path, chrome, main, _ = stack[-1]
         marks = " ".join(sorted((m2[2] or m2[3] or m2[4] or "") for m2 in ATTRIBUTE.finditer(attributes) if m2[1].lower() in ("class", "id", "role"))) if attributes else ""
         path = xxhash.xxh64_intdigest(f"{name} {marks}", path & (1 << 63) - 1)
         page.tokens.append(path)
         if name in VOID or attributes.endswith("/"):
             continue
         role_main = name in ("article", "main") or "main" in marks and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I) is not None
-        chrome = chrome or _chrome(name, attributes, main or role_main)
+        opened += 1
+        mark, number = _chrome(name, attributes, main or role_main), 0
+        if mark in (WEAK, TALK):
+            number = opened
+            marked[number] = [mark, len(page.blocks), 0, False]
+            if number in void:
+                mark = NONE
+        if role_main and name != "article":
+            for element in stack:
+                if element[4]:
+                    marked[element[4]][3] = True
+        chrome = chrome or mark != NONE
         main = main or role_main and not chrome
         page.has_main |= role_main and not chrome
-        stack.append((name, path, chrome, main))
+        stack.append((name, path, chrome, main, number))
     flush()
-    return page
+    leave(1)
+    return page, marked
 
 
 def host_column(url: str):

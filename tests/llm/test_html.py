@@ -74,3 +74,13 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] or 0, r["url"], r["text"][:20], r["n_chars"]) for r in H.extract(df).collect()), key=str)
     assert got == sorted([(0, "http://a.example/", "long text\nlong text\n", 30_000 * 10 - 1), (1, None, "", 0), (2, "not a url", "hello", 5), (2, "not a url", "hello", 5), (5, "http://a.example/", "", 0)], key=str)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_marks_around_the_article_are_void():
+    words = " ".join(f"w{i}" for i in range(40))
+    for open_tag in ('<div class="content has-sidebar">', '<div id="page" class="site no-comments">', '<form id=aspnetForm>', '<div class="sidebar-left">'):
+        assert text_of(f"<body><div class=menu>no</div>{open_tag}<article><h1>Head</h1><p>{words}</article></{open_tag[1:].split()[0]}>") == f"Head\n{words}"
+    assert text_of("<article><div class='entry-header'><h1>Head</h1></div><p>text</p></article>") == "Head\ntext"
+    assert text_of(f"<article><p>{words}</article><div class=related><article>teaser</article></div>") == words
+    assert text_of(f"<form><p>{words}</p><div class=footer>no</div></form><p>yes") == f"{words}\nyes"
+    assert text_of(f"<p>yes</p><div class=comments><p>{words}</p></div>") == "yes"
