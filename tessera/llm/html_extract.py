@@ -1,8 +1,7 @@
 """Main text of web pages by equivalence-class template deduction.
 
 Pages of one host share a template. A page is a sequence of tokens: block tags,
-each named by its path of block elements, and short text blocks outside the
-article's own element, named by path and text. Tokens of a host that occur equally
+each named by its path of block elements, and text blocks, named by path and text. Tokens of a host that occur equally
 often on every page (equal occurrence vectors) form an equivalence class. A class
 of two or more tokens on enough pages is part of the template; on a page it is
 valid if its tokens stand in the template's order there and its span nests with
@@ -12,8 +11,8 @@ text token of a valid class is fixed text of the template, not content.
 Slots are told apart by the elements around them: menus, headers, footers,
 sidebars, notices, adverts, forms, comments and hidden or non-text elements are no
 content, by tag, role, class or id. Where an article or main element exists, the
-content is what stands in it; elsewhere it is what is left of the body after fixed
-template text and blocks that are mostly links.
+content is what stands in it, unless it is small beside the other text; elsewhere it
+is the body. Fixed template text goes in both.
 
 Occurrence vectors are never collected: a vector's identity is the sum of
 count * hash(page) over the pages, which is aggregated map-side and so is no
@@ -165,11 +164,9 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
             _, path, chrome, main, _ = stack[-1]
-            token = 0
-            if not main or chrome:
-                token = xxhash.xxh64_intdigest(text, path & (1 << 63) - 1)
-                page.tokens.append(token)
-                page.texts.add(token)
+            token = xxhash.xxh64_intdigest(text, path & (1 << 63) - 1)
+            page.tokens.append(token)
+            page.texts.add(token)
             page.blocks.append(Block(text, token, main and not chrome, chrome, linked, len(text)))
         linked = 0
 
@@ -340,11 +337,12 @@ def fixed_texts(page: Page, template: list[dict] | None) -> set[int]:
 
 def main_text(page: Page, template: list[dict] | None) -> str:
     """Blocks of the content slots in page order, one a line."""
-    if page.has_main:
-        kept = [b.text for b in page.blocks if b.content]
-        if kept:
-            return "\n".join(kept)
     fixed = fixed_texts(page, template)
+    if page.has_main:
+        kept = [b for b in page.blocks if b.content]
+        # small article cards beside a longer text are teasers
+        if 2 * sum(b.size for b in kept) >= sum(b.size for b in page.blocks if not b.chrome and b.token not in fixed):
+            return "\n".join(b.text for b in kept if b.token not in fixed)
     return "\n".join(b.text for b in page.blocks if not b.chrome and b.token not in fixed and 2 * b.linked <= b.size)
 
 

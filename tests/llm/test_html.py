@@ -84,3 +84,12 @@ def test_marks_around_the_article_are_void():
     assert text_of(f"<article><p>{words}</article><div class=related><article>teaser</article></div>") == words
     assert text_of(f"<form><p>{words}</p><div class=footer>no</div></form><p>yes") == f"{words}\nyes"
     assert text_of(f"<p>yes</p><div class=comments><p>{words}</p></div>") == "yes"
+
+
+def test_template_decides_inside_articles_too(spark):
+    page = "<body><article><h1>Title {i}</h1><p>Text of page {i}.</p><p>Share this page with all your friends</p><p>More on {i}.</p></article></body>"
+    rows = [(i, f"https://h.example.com/{i}", page.format(i=i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nText of page {i}.\nMore on {i}." for i in range(8)}
+    body = " ".join(f"w{i}" for i in range(50))
+    assert body in text_of(f"<div>{body}</div><article>a teaser</article><article>another</article>")
