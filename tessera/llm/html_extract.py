@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host share a template. A page is a sequence of tokens: block tags,
+Pages of one host share a template, and those of one section (first folder) a further one. A page is a sequence of tokens: block tags,
 each named by its path of block elements, and text blocks, named by path and text. Tokens of a host that occur equally
 often on every page (equal occurrence vectors) form an equivalence class. A class
 of two or more tokens on enough pages is part of the template; on a page it is
@@ -20,7 +20,7 @@ matter of a host's size. Templates are joined to the pages by host, by broadcast
 only if their checked size is small, else salted.
 
 Null html gives an empty text; a page without a host is its own host's member
-("" as host). Repeated pages and ids are extracted each for itself. Unclosed,
+("" as host). Pages of the same texts count once in a template. Repeated pages and ids are extracted each for itself. Unclosed,
 cut-off and mis-nested markup is read as far as it goes. An empty table gives no rows.
 """
 
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, stored
 
-MIN_PAGES = 3  # pages that a class must be on
-MIN_SHARE = 0.1  # and this share of the host's pages
+MIN_PAGES = 3  # pages of different content that a class must be on
+MIN_SHARE = 0.1  # and this share of the different pages of its host or section
 BROADCAST_TOKENS = 500_000  # template tokens, over all hosts, that are broadcast at most
 SALTS = 32
 
@@ -255,19 +255,41 @@ def host_column(url: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _page_key(html: str | None, url: str | None) -> int:
-    """A page's weight in occurrence vectors: odd and 64 bits wide; a copy of a page under the same url weighs the same."""
-    return xxhash.xxh64_intdigest((html or "") + "\0" + (url or ""), 7) | 1
+def section_column(url: str):
+    """Host and first folder of a url, null if it has no folder; no host has a slash."""
+    folder = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+/)", 1)
+    return F.when(folder != "", F.concat(host_column(url), folder))
 
 
-def token_statistics(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, token, is_text, vector, n_pages, place): each token's occurrence vector sum over a host's pages, aggregated."""
+def _content_key(page: Page) -> int:
+    """The same for pages of the same texts in the same order, also under different urls."""
+    texts = [t for t in page.tokens if t in page.texts]
+    return xxhash.xxh64_intdigest(np.array(texts, np.uint64).tobytes(), 3) >> 1
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, section, html) of the same: one page of each content; copies and mirrors are no template."""
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = [_content_key(parse(h)) for h in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), batch.column(2)], ["host", "section", "key", "html"])
+
+    return map_batches(pages.select("host", "section", "html"), keyed, "host string, section string, key long, html string").groupBy("host", "key").agg(F.min(F.struct("section", "html")).alias("p")).select("host", "p.*")
+
+
+def _page_key(html: str | None) -> int:
+    """A page's weight in occurrence vectors: odd and 64 bits wide."""
+    return xxhash.xxh64_intdigest(html or "", 7) | 1
+
+
+def token_statistics(pages: DataFrame) -> DataFrame:
+    """(host, token, is_text, vector, n_pages, place) of (host, section, html): each token's occurrence vector sum over the different pages of a host, and of a section in the host's place."""
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list] = {}
         mask = (1 << 64) - 1
-        for host, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page, key = parse(html), _page_key(html, url)
+        for host, section, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            page, key = parse(html), _page_key(html)
             seen: dict[int, list[int]] = {}
             for i, t in enumerate(page.tokens):
                 if t in seen:
@@ -277,10 +299,11 @@ def token_statistics(pages: DataFrame, url_col: str, html_col: str) -> DataFrame
             whole = max(1, len(page.tokens))
             seen[0] = [1, 0]  # the host's pages themselves
             for t, (c, i) in seen.items():
-                s = sums.setdefault((host, t), [0, 0, 0.0, t in page.texts])
-                s[0] = s[0] + c * key & mask
-                s[1] += 1
-                s[2] += i / whole
+                for level in (host,) if section is None else (host, section):
+                    s = sums.setdefault((level, t), [0, 0, 0.0, t in page.texts])
+                    s[0] = s[0] + c * key & mask
+                    s[1] += 1
+                    s[2] += i / whole
         v = list(sums.values())
         signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -288,7 +311,7 @@ def token_statistics(pages: DataFrame, url_col: str, html_col: str) -> DataFrame
             ["host", "token", "is_text", "vector", "n_pages", "place"],
         )
 
-    found = map_batches(pages.select(host_column(url_col).alias("host"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), count, "host string, token long, is_text boolean, vector long, n_pages long, place double")
+    found = map_batches(pages.select("host", "section", "html"), count, "host string, token long, is_text boolean, vector long, n_pages long, place double")
     # vectors are sums modulo 2**64: halves are added apart, so that nothing overflows
     low, high = F.col("vector").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("vector", 32)
     return (
@@ -299,12 +322,12 @@ def token_statistics(pages: DataFrame, url_col: str, html_col: str) -> DataFrame
 
 
 def templates(stats: DataFrame) -> DataFrame:
-    """(host, template array<struct<c, t, x>>): the tokens of each host's large classes, by class and place; x says that a token is text."""
+    """(host, template array<struct<c, t, x, w>>): the tokens of each host's large classes, by class and place; x says that a token is text, w that its class is on all different pages."""
     hosts = stats.filter("token = 0").select("host", F.col("n_pages").alias("host_pages"))
     large = stats.filter(f"token <> 0 and n_pages >= {MIN_PAGES}").join(hosts, "host").filter(F.col("n_pages") >= F.lit(MIN_SHARE) * F.col("host_pages"))
-    classes = large.groupBy("host", "vector").agg(F.sort_array(F.collect_list(F.struct("place", "token", "is_text"))).alias("tokens")).filter("size(tokens) >= 2")
+    classes = large.groupBy("host", "vector").agg(F.max(F.col("n_pages") == F.col("host_pages")).alias("whole"), F.sort_array(F.collect_list(F.struct("place", "token", "is_text"))).alias("tokens")).filter("size(tokens) >= 2")
     # a class has no more tokens than the pages it is on, and a host no more classes than 1 / MIN_SHARE times that
-    numbered = classes.select("host", F.expr("transform(tokens, t -> named_struct('c', abs(hash(vector)), 't', t.token, 'x', t.is_text))").alias("part"))
+    numbered = classes.select("host", F.expr("transform(tokens, t -> named_struct('c', abs(hash(vector)), 't', t.token, 'x', t.is_text, 'w', whole))").alias("part"))
     return numbered.groupBy("host").agg(F.flatten(F.collect_list("part")).alias("template"))
 
 
@@ -318,13 +341,19 @@ def fixed_texts(page: Page, template: list[dict] | None) -> set[int]:
     classes: dict[int, list[tuple[int, bool]]] = {}
     for row in template:
         classes.setdefault(row["c"], []).append((row["t"] & (1 << 64) - 1, row["x"]))
+    whole = {row["c"] for row in template if row["w"]}
+    sizes: dict[int, int] = {}
+    for b in page.blocks:
+        sizes[b.token] = sizes.get(b.token, 0) + b.size * (not b.chrome)
     spans, texts = [], []
-    for tokens in classes.values():
+    for c, tokens in classes.items():
         at = [place[t][0] for t, _ in tokens if t in place]
         if len(at) < 2 or any(a > b for a, b in zip(at, at[1:], strict=False)):
             continue  # not on the page, or out of the template's order
         spans.append((at[0], max(place[t][-1] for t, _ in tokens if t in place)))
-        texts.append({t for t, x in tokens if x and t in place})
+        found = {t for t, x in tokens if x and t in place}
+        # most of a page's text is no template of some pages, but what near copies of one page share
+        texts.append(found if c in whole or 2 * sum(sizes[t] for t in found) <= sum(sizes.values()) else set())
     out: set[int] = set()
     for i, (a, b) in enumerate(spans):
         if not texts[i]:
@@ -335,9 +364,9 @@ def fixed_texts(page: Page, template: list[dict] | None) -> set[int]:
     return out
 
 
-def main_text(page: Page, template: list[dict] | None) -> str:
+def main_text(page: Page, template: list[dict] | None, section: list[dict] | None = None) -> str:
     """Blocks of the content slots in page order, one a line."""
-    fixed = fixed_texts(page, template)
+    fixed = fixed_texts(page, template) | fixed_texts(page, section)
     if page.has_main:
         kept = [b for b in page.blocks if b.content]
         # small article cards beside a longer text are teasers
@@ -349,17 +378,20 @@ def main_text(page: Page, template: list[dict] | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(url_col).alias("host"))
-    shapes = stored(templates(token_statistics(rows, "url", "html")), "templates")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(url_col).alias("host"), section_column(url_col).alias("section"))
+    shapes = stored(templates(token_statistics(stored(distinct_pages(rows), "distinct-pages"))), "templates")
     size = shapes.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)).alias("n")).first()["n"]
-    if size <= BROADCAST_TOKENS:
-        joined = rows.join(F.broadcast(shapes), "host", "left")
-    else:
-        salted = shapes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = rows
+    for level in ("host", "section"):
+        named = shapes.select(F.col("host").alias(level), F.col("template").alias(f"{level}_template"))
+        if size <= BROADCAST_TOKENS:
+            joined = joined.join(F.broadcast(named), level, "left")
+        else:
+            salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = joined.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, [level, "salt"], "left").drop("salt")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = [main_text(parse(html), template) for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        text = [main_text(parse(html), one, two) for html, one, two in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    return map_batches(joined.select("id", "url", "html", "template"), run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    return map_batches(joined.select("id", "url", "html", "host_template", "section_template"), run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

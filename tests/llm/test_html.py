@@ -93,3 +93,15 @@ def test_template_decides_inside_articles_too(spark):
     assert got == {i: f"Title {i}\nText of page {i}.\nMore on {i}." for i in range(8)}
     body = " ".join(f"w{i}" for i in range(50))
     assert body in text_of(f"<div>{body}</div><article>a teaser</article><article>another</article>")
+
+
+def test_copies_are_no_template_and_sections_have_their_own(spark):
+    copy = "<div><h2>One title</h2><p>First paragraph of it.</p><p>Second paragraph.</p></div>"
+    rows = [(i, f"https://copy.example.com/{i}", copy) for i in range(3)]
+    rows += [(10 + i, f"https://near.example.com/{i}", copy + f"<p>seen {i}</p>") for i in range(3)]
+    rows += [(15 + i, f"https://near.example.com/x{i}", f"<div><h3>Other {i}</h3><p>text {i}</p></div>") for i in range(5)]
+    rows += [(100 + i, f"https://hot.example.com/s{i % 12}/{i}", f"<div><p>menu of s{i % 12}</p><p>notice of s{i % 12}</p><p>text {i} that is longer than the menu and the notice are together</p></div>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One title\nFirst paragraph of it.\nSecond paragraph." for i in range(3))
+    assert all(got[10 + i].startswith("One title\nFirst paragraph of it.\nSecond paragraph.") for i in range(3))
+    assert all(got[100 + i] == f"text {i} that is longer than the menu and the notice are together" for i in range(60))
