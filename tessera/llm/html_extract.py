@@ -75,7 +75,6 @@ class Block:
     token: int  # hash of path and text
     content: bool  # in an article or main element and not in chrome
     chrome: bool
-    linked: int  # characters inside links
     size: int
 
 
@@ -147,7 +146,7 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
     # the open block elements: name, hash of the path to it, whether it is chrome, whether it is in an article or main element, its number if weakly marked
     stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
     pieces: list[str] = []
-    linked, link_depth, at, n = 0, 0, 0, len(html)
+    at, n = 0, len(html)
 
     def leave(i: int) -> None:
         for element in stack[i:]:
@@ -156,7 +155,6 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
         del stack[i:]
 
     def flush() -> None:
-        nonlocal linked
         if not pieces:
             return
         raw = "".join(pieces)
@@ -167,8 +165,7 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
             token = xxhash.xxh64_intdigest(text, path & (1 << 63) - 1)
             page.tokens.append(token)
             page.texts.add(token)
-            page.blocks.append(Block(text, token, main and not chrome, chrome, linked, len(text)))
-        linked = 0
+            page.blocks.append(Block(text, token, main and not chrome, chrome, len(text)))
 
     while at < n:
         lt = html.find("<", at)
@@ -177,8 +174,6 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
             break
         if lt > at:
             pieces.append(html[at:lt])
-            if link_depth:
-                linked += lt - at
         nxt = html[lt + 1 : lt + 2]
         if nxt == "!" or nxt == "?":
             end = html.find("-->", lt + 4) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
@@ -204,9 +199,7 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
                 at = end.end() if end else n
             continue
         if name not in BLOCK:
-            if name == "a":
-                link_depth = max(0, link_depth + (-1 if close else 1))
-            elif name == "br" or name in ("img", "wbr", "input"):
+            if name in ("br", "img", "wbr", "input"):
                 pieces.append(" ")
             continue
         flush()
@@ -216,7 +209,6 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
                     page.tokens.append(~stack[i][1] & (1 << 64) - 1)
                     leave(i)
                     break
-            link_depth = 0 if name in ("nav", "li", "div", "p") else link_depth
             continue
         if stack[-1][0] in CLOSED_BY_BLOCK:
             leave(len(stack) - 1)
@@ -372,7 +364,7 @@ def main_text(page: Page, template: list[dict] | None, section: list[dict] | Non
         # small article cards beside a longer text are teasers
         if 2 * sum(b.size for b in kept) >= sum(b.size for b in page.blocks if not b.chrome and b.token not in fixed):
             return "\n".join(b.text for b in kept if b.token not in fixed)
-    return "\n".join(b.text for b in page.blocks if not b.chrome and b.token not in fixed and 2 * b.linked <= b.size)
+    return "\n".join(b.text for b in page.blocks if not b.chrome and b.token not in fixed)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

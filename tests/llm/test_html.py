@@ -105,3 +105,8 @@ def test_copies_are_no_template_and_sections_have_their_own(spark):
     assert all(got[i] == "One title\nFirst paragraph of it.\nSecond paragraph." for i in range(3))
     assert all(got[10 + i].startswith("One title\nFirst paragraph of it.\nSecond paragraph.") for i in range(3))
     assert all(got[100 + i] == f"text {i} that is longer than the menu and the notice are together" for i in range(60))
+
+
+def test_linked_blocks_of_the_text_stay():
+    page = "<div><h2><a href=/a>A linked headline</a></h2><p>Some text.</p><p>See <a href=/x>the other long page on it</a></p><ul><li><a href=/r>First reference</a></ul></div>"
+    assert text_of(page) == "A linked headline\nSome text.\nSee the other long page on it\nFirst reference"
