@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import shutil
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 from tessera.engine import Engine
@@ -44,8 +45,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def lines(df) -> Iterator[str]:
+    """A table's lines, joined by line ends."""
+    for i, line in enumerate(sinks.table_lines(df)):
+        yield "\n" * (i > 0) + line
+
+
 def run(spark, argv: list[str]) -> str:
-    """What a command prints."""
+    """What a command prints, whole."""
+    return "".join(answer(spark, argv))
+
+
+def answer(spark, argv: list[str]) -> str | Iterator[str]:
+    """What a command prints: a text, or the pieces of a result that may be large."""
     a = parser().parse_args(argv)
     store = Store(spark, a.table)
     if a.verb == "build":
@@ -64,19 +76,19 @@ def run(spark, argv: list[str]) -> str:
     engine = Engine(spark, a.table)
     if a.verb == "query":
         df = engine.sql(a.text) if a.sql else engine.sparql(a.text, a.limit)
-        return sinks.to_csv(df) if a.csv else sinks.format_table(df)
+        return sinks.csv_lines(df) if a.csv else lines(df)
     if a.verb == "get":
         if a.what not in LOOKUPS:
             raise TesseraError(f"get takes one of {', '.join(LOOKUPS)}")
-        return sinks.format_table(sinks.drop_empty_columns(getattr(engine, a.what)()))
+        return lines(sinks.drop_empty_columns(getattr(engine, a.what)()))
     if a.verb == "describe":
-        return sinks.format_table(engine.describe(a.subject, a.base))
+        return lines(engine.describe(a.subject, a.base))
     if a.verb == "stats":
-        return sinks.format_table(lookups.counts(engine.triples))
+        return lines(lookups.counts(engine.triples))
     if a.verb == "properties":
-        return sinks.format_table(store.properties())
+        return lines(store.properties())
     if a.verb == "diff":
-        return sinks.format_table(engine.diff(a.snapshot).drop("object_geometry"))
+        return lines(engine.diff(a.snapshot).drop("object_geometry"))
     if a.verb == "geometries":
         return sinks.feature_collection(engine.geometries(a.bbox, a.limit, a.offset))
     if a.verb == "serve":
@@ -91,7 +103,9 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     try:
-        print(run(SparkSession.builder.appName("tessera").getOrCreate(), sys.argv[1:]))
+        for piece in answer(SparkSession.builder.appName("tessera").getOrCreate(), sys.argv[1:]):
+            sys.stdout.write(piece)
+        print()
     except TesseraError as e:
         sys.exit(f"error: {e}")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +46,30 @@ def extent_feature(extent: DataFrame) -> str:
     return json.dumps({"type": "Feature", "bbox": [x0, y0, x1, y1], "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"count": str(r["count"])}})
 
 
-def format_table(df: DataFrame, limit: int = 1000) -> str:
-    """Aligned text of a small result."""
-    rows = [df.columns, *[[str(v) for v in r] for r in terms.render_text(df).limit(limit).collect()]]
-    width = [max(len(r[i]) for r in rows) for i in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in rows)
+def table_lines(df: DataFrame) -> Iterator[str]:
+    """Aligned text of all rows, a line each; the widths come first, then the rows pass one by one."""
+    text = terms.render_text(df)
+    longest = text.agg(*[F.max(F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(4))).alias(f"w{i}") for i, c in enumerate(text.columns)]).first()
+    width = [max(len(c), w or 0) for c, w in zip(df.columns, longest, strict=True)]
+    for r in chain([df.columns], text.toLocalIterator()):
+        yield "  ".join(str(v).ljust(w) for v, w in zip(r, width, strict=True)).rstrip()
 
 
-def to_csv(df: DataFrame, limit: int = 1000) -> str:
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(df.columns)
-    w.writerows([list(r) for r in terms.render_text(df).limit(limit).collect()])
-    return out.getvalue()
+def format_table(df: DataFrame) -> str:
+    """Aligned text of all rows."""
+    return "\n".join(table_lines(df))
+
+
+def csv_lines(df: DataFrame) -> Iterator[str]:
+    """All rows as CSV, a record each, with its line end."""
+    for r in chain([df.columns], terms.render_text(df).toLocalIterator()):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerow(list(r))
+        yield out.getvalue()
+
+
+def to_csv(df: DataFrame) -> str:
+    return "".join(csv_lines(df))
 
 
 def sql_response(df: DataFrame, cap: int = 1000) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import cli, server
 from tessera import schema as S
 from tessera.engine import Engine
-from tessera.functions import geo, terms
+from tessera.functions import geo, sinks, terms
 from tessera.functions.overlay import OPERATIONS, overlay
 from tessera.operators import modules
 from tessera.sources import linked
@@ -137,3 +137,9 @@ def test_modules(spark, table):
     with pytest.raises(modules.TaskFailed, match="broken"):
         modules.nodes_terms([{"@type": "ReadError", "rdfs:comment": "broken"}], {})
     assert modules.tasks(t, [EX + "Task"]).collect()[0]["classes"] == [EX + "Task"]
+
+
+def test_printed_results_are_whole(spark):
+    df = spark.range(1500).selectExpr("id", "cast(null as string) as empty")
+    assert len(sinks.format_table(df).split("\n")) == 1501
+    assert len(sinks.to_csv(df).splitlines()) == 1501 and sinks.to_csv(df).endswith("\n")
