@@ -1,35 +1,42 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host share a template, and those of one section (first folder) a further one. A page is a sequence of tokens: block tags,
-each named by its path of block elements, and text blocks, named by path and text. Tokens of a host that occur equally
-often on every page (equal occurrence vectors) form an equivalence class. A class
-of two or more tokens on enough pages is part of the template; on a page it is
-valid if its tokens stand in the template's order there and its span nests with
-the other classes' spans. What stands between the template's tokens are slots; a
-text token of a valid class is fixed text of the template, not content.
-
-Slots are told apart by the elements around them: menus, headers, footers,
-sidebars, notices, adverts, forms, comments and hidden or non-text elements are no
-content, by tag, role, class or id. Where an article or main element exists, the
-content is what stands in it, unless it is small beside the other text; elsewhere it
-is the body. Fixed template text goes in both.
-
-Occurrence vectors are never collected: a vector's identity is the sum of
-count * hash(page) over the pages, which is aggregated map-side and so is no
-matter of a host's size. Templates are joined to the pages by host, by broadcast
-only if their checked size is small, else salted.
-
-Null html gives an empty text; a page without a host is its own host's member
-("" as host). Pages of the same texts count once in a template. Repeated pages and ids are extracted each for itself. Unclosed,
-cut-off and mis-nested markup is read as far as it goes. An empty table gives no rows.
+Pages of one host share a template, and those of one section (first folder) a further one. A page is a sequence of tokens: the
+opening and the end of each block element, named by its path of block elements, and each word, named by word and path, by the word
+before it in its block, by whether it ends the block, and by how many like it came before on the page. Tokens that occur equally often on every page of a host or section (equal occurrence vectors) form an
+equivalence class. A class of two tokens or more on at least half of the pages (words: TEXT_SHARE of them), and on MIN_PAGES different
+ones, is part of the template. On a page it is valid if its tokens stand in the template's order and its span nests with the other classes' spans.
+
+What stands between the template's tags are slots. Over all pages of the host or section the text of each slot is counted by what the
+elements around it are: inside an article or main element, marked as menu, header, footer, sidebar, notice, advert, form, comments or
+hidden (by tag, role, class or id; inside an article by tag and role only, and by whole names of adverts, widgets and comments), or neither. That
+names the slot, once for all pages, as content or not. A page's text is what stands in its content slots, without blocks whose words
+are all fixed text of the template. Elements that the template has not are named by themselves, and a page whose host and section have
+too few pages is a template of its own. Where templates are withheld no slot is named, and all text is returned (``main_text``).
+
+Three scans, each of them only parses:
+
+1. Candidates. A slice of the table sends a token of a host if it is on half of the slice's pages of this host. A token on half of all
+   pages is sent by some slice, and the pages that others may have beside are bounded, so nothing is lost, and what is left for a host is
+   at most about twice the tokens of a page.
+2. Vectors. A vector is named by the sum of count * hash(page) over the pages (two 32-bit halves), the pages and the occurrences with it;
+   sums are made map-side, so a host's size is no matter. Equal pages have equal hashes: they change no class, and different pages are
+   counted by 64-bit masks. The slots' text is counted too.
+3. Extraction.
+
+Candidates and templates are joined to the pages by host and section, by broadcast only if their checked size is small, else salted.
+
+Null html gives an empty text; a page without a host is its own host's member ("" as host). Repeated pages and ids are extracted each for
+itself. Unclosed, cut-off and mis-nested markup is read as far as it goes, in linear time, and very long pages whole. Columns other
+than the three named ones are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, stored
+from tessera.llm.common import drop_stored, map_batches, stored
 
-MIN_PAGES = 3  # pages of different content that a class must be on
-MIN_SHARE = 0.1  # and this share of the different pages of its host or section
-BROADCAST_TOKENS = 500_000  # template tokens, over all hosts, that are broadcast at most
+MIN_PAGES = 3  # different pages that a class of tags must be on
+TEXT_PAGES = 4  # and one of words
+TEXT_SHARE = 0.9  # and the share of a host's or section's pages for words: a line that many of its articles share is no template
+BROADCAST_TOKENS = 500_000  # tokens, over all hosts and sections, that are broadcast at most
 SALTS = 32
 
 # Element names by their role in a page.
@@ -56,10 +64,11 @@ CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe newsletter paywall sidebar rail menu nav navbar navigation navi breadcrumb breadcrumbs topbar toolbar masthead header footer copyright legal comment comments commentlist respond reply replies discussion disqus share sharing social related recommended recommendations widget widgets login signin signup search pagination pager skip toc tags hidden".split()
 )
 DISCUSSION = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+READERS = frozenset("comment comments commentlist disqus".split())  # inside an article, where a discussion may be its own
+# inside an article only whole names count, of what is never a part of its text
+WIDGETS = frozenset("ad ads advert adverts advertisement adsbygoogle share-bar share-buttons social-share sharing related related-posts related-articles related-links newsletter newsletter-signup sidebar breadcrumb breadcrumbs pagination cookie-notice".split())
 STATES = frozenset("no not has have with without is hide".split())  # "no-comments": a word on the layout, not a name of the element
-OWN_PARTS = frozenset("entry post article story content page".split())  # "entry-header" in an article is the article's own
-HEADINGS = frozenset("header masthead".split())
-NONE, WEAK, TALK, STRONG = range(4)  # how an element is marked as chrome: by a layout word or form, as a discussion, by tag, role or hidden
+NONE, MAIN, WEAK, TALK, STRONG = range(5)  # how an element is marked: as an article, as chrome by a layout word or form, as a discussion, by tag, role or hidden
 CLOSED_BY_BLOCK = frozenset(("p",))
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -67,91 +76,84 @@ TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PART = re.compile(r"[a-z]+")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+RAW_END = {name: re.compile(f"</{name}\\b[^>]*>", re.I) for name in RAW}
+ALL = (1 << 64) - 1
+
+IN_MAIN, PLAIN, OUT = range(3)  # what the elements around a block are
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    token: int  # hash of path and text
-    content: bool  # in an article or main element and not in chrome
-    chrome: bool
-    size: int
+    path: int  # of its elements
+    after: int  # the tag token before it
+    scope: int  # the innermost marked element around it
+    kind: int = PLAIN
 
 
 @dataclass(slots=True)
 class Page:
-    tokens: list[int]  # in page order: tags and texts
-    texts: set[int]  # which of them are texts
-    blocks: list[Block]
-    has_main: bool
+    tags: list[int] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
 
 
 def _named_chrome(value: str, inside_main: bool) -> int:
     """The mark that the names of a class or id give."""
     mark = NONE
     for name in value.split():
+        if inside_main and name in WIDGETS:
+            return WEAK
         parts = PART.findall(name)
         if not parts or len(parts) > 1 and parts[0] in STATES:
             continue
-        found = CHROME_NAMES.intersection(parts)
-        if inside_main and not OWN_PARTS.isdisjoint(parts):
-            found -= HEADINGS
-        if found:
-            mark = max(mark, TALK if found & DISCUSSION else WEAK)
+        if inside_main:
+            mark = max(mark, NONE if READERS.isdisjoint(parts) else TALK)
+        elif not CHROME_NAMES.isdisjoint(parts):
+            mark = max(mark, WEAK if DISCUSSION.isdisjoint(parts) else TALK)
     return mark
 
 
-def _chrome(name: str, attributes: str, inside_main: bool) -> int:
+def _chrome(name: str, attributes: list[tuple[str, str]], inside_main: bool) -> int:
     mark = NONE
     if name in CHROME:
         mark = WEAK if name in ("form", "fieldset") else STRONG
     if name == "header" and not inside_main:
         mark = STRONG
-    if not attributes:
-        return mark
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for key, value in attributes:
         if key == "role":
             if value.strip() in CHROME_ROLES:
                 return STRONG
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             return STRONG
         elif key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            if INVISIBLE.search(value):
                 return STRONG
-        elif name not in ("article", "main", "body", "html"):
+        elif key in ("class", "id") and name not in ("article", "main", "body", "html"):
             mark = max(mark, _named_chrome(value, inside_main))
     return mark
 
 
 def parse(html: str | None) -> Page:
-    """Tokens and text blocks of a page. A weak mark is void if its element holds a main element, or most of the page's text."""
-    page, marked = _parse(html, frozenset())
-    void = set()
-    if marked:
-        ends = [0]
-        for b in page.blocks:
-            ends.append(ends[-1] + b.size)
-        void = {i for i, (kind, a, b, main) in marked.items() if main or kind == WEAK and 2 * (ends[b] - ends[a]) > ends[-1]}
-    return _parse(html, frozenset(void))[0] if void else page
-
-
-def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list]]:
-    """A page, and its weakly marked elements by number: mark, first and last block, whether a main element is inside."""
-    page = Page([], set(), [], False)
-    marked: dict[int, list] = {}
+    """Tag tokens and text blocks of a page, and what the elements around each block are."""
+    page = Page()
     if not html:
-        return page, marked
-    opened = 0
-    # the open block elements: name, hash of the path to it, whether it is chrome, whether it is in an article or main element, its number if weakly marked
-    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        return page
+    tags, blocks = page.tags, page.blocks
+    # marked elements: the one around, mark, first and last block, whether a main element is inside
+    scopes: list[list] = [[0, NONE, 0, 0, False]]
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # open block elements: name, hash of the path, scope, in an article or main element
+    open_names: dict[str, int] = {}
     pieces: list[str] = []
     at, n = 0, len(html)
 
     def leave(i: int) -> None:
-        for element in stack[i:]:
-            if element[4]:
-                marked[element[4]][2] = len(page.blocks)
+        for j in range(len(stack) - 1, i - 1, -1):
+            name, path, scope, _ = stack[j]
+            tags.append(~path & ALL)
+            open_names[name] -= 1
+            if scope != stack[j - 1][2]:
+                scopes[scope][3] = len(blocks)
         del stack[i:]
 
     def flush() -> None:
@@ -161,11 +163,7 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
         pieces.clear()
         text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
-            _, path, chrome, main, _ = stack[-1]
-            token = xxhash.xxh64_intdigest(text, path & (1 << 63) - 1)
-            page.tokens.append(token)
-            page.texts.add(token)
-            page.blocks.append(Block(text, token, main and not chrome, chrome, len(text)))
+            blocks.append(Block(text, stack[-1][1], len(tags) - 1, stack[-1][2]))
 
     while at < n:
         lt = html.find("<", at)
@@ -176,8 +174,9 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
             pieces.append(html[at:lt])
         nxt = html[lt + 1 : lt + 2]
         if nxt == "!" or nxt == "?":
-            end = html.find("-->", lt + 4) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
-            if end < 3 and (html.startswith("<!--", lt) or end == 0):
+            # "<!-->" and "<!--->" are whole comments
+            end = html.find("-->", lt + 2) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
+            if end <= lt:
                 break  # cut off
             at = end
             continue
@@ -191,11 +190,11 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
                 pieces.append("<")
                 at = lt + 1
             continue
-        close, name, attributes = m[1], m[2].lower(), m[3]
+        close, name, rest = m[1], m[2].lower(), m[3]
         at = m.end()
         if name in RAW:
-            if not close and not attributes.endswith("/"):
-                end = re.compile(f"</{name}\\b[^>]*>", re.I).search(html, at)
+            if not close and not rest.endswith("/"):
+                end = RAW_END[name].search(html, at)
                 at = end.end() if end else n
             continue
         if name not in BLOCK:
@@ -204,42 +203,119 @@ def _parse(html: str | None, void: frozenset[int]) -> tuple[Page, dict[int, list
             continue
         flush()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    page.tokens.append(~stack[i][1] & (1 << 64) - 1)
-                    leave(i)
-                    break
+            if open_names.get(name):
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                leave(i)
             continue
         if stack[-1][0] in CLOSED_BY_BLOCK:
             leave(len(stack) - 1)
-        closes = CLOSES.get(name, ())
-        if stack[-1][0] in closes:
+        if stack[-1][0] in CLOSES.get(name, ()):
             leave(len(stack) - 1)
-        _, path, chrome, main, _ = stack[-1]
-        marks = " ".join(sorted((m2[2] or m2[3] or m2[4] or "") for m2 in ATTRIBUTE.finditer(attributes) if m2[1].lower() in ("class", "id", "role"))) if attributes else ""
-        path = xxhash.xxh64_intdigest(f"{name} {marks}", path & (1 << 63) - 1)
-        page.tokens.append(path)
-        if name in VOID or attributes.endswith("/"):
+        _, path, scope, main = stack[-1]
+        attributes = [(a[1].lower(), (a[2] or a[3] or a[4] or "").lower()) for a in ATTRIBUTE.finditer(rest)] if rest else []
+        names = " ".join(sorted(v for k, v in attributes if k in ("class", "id", "role"))) if attributes else ""
+        path = xxhash.xxh64_intdigest(f"{name} {names}", path & (1 << 63) - 1)
+        tags.append(path)
+        if name in VOID or rest.endswith("/"):
+            tags.append(~path & ALL)
             continue
-        role_main = name in ("article", "main") or "main" in marks and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I) is not None
-        opened += 1
-        mark, number = _chrome(name, attributes, main or role_main), 0
-        if mark in (WEAK, TALK):
-            number = opened
-            marked[number] = [mark, len(page.blocks), 0, False]
-            if number in void:
-                mark = NONE
-        if role_main and name != "article":
-            for element in stack:
-                if element[4]:
-                    marked[element[4]][3] = True
-        chrome = chrome or mark != NONE
-        main = main or role_main and not chrome
-        page.has_main |= role_main and not chrome
-        stack.append((name, path, chrome, main, number))
+        is_main = name in ("article", "main") or ("role", "main") in attributes
+        mark = _chrome(name, attributes, main or is_main) or (MAIN if is_main else NONE)
+        if mark != NONE:
+            scopes.append([scope, mark, len(blocks), 0, False])
+            scope = len(scopes) - 1
+        if is_main and name != "article":
+            outer = scopes[scope][0] if mark != NONE else scope
+            while outer and not scopes[outer][4]:
+                scopes[outer][4] = True
+                outer = scopes[outer][0]
+        stack.append((name, path, scope, main or is_main))
+        open_names[name] = open_names.get(name, 0) + 1
     flush()
     leave(1)
-    return page, marked
+    _resolve(blocks, scopes)
+    return page
+
+
+def _resolve(blocks: list[Block], scopes: list[list]) -> None:
+    """Tell what is around each block. A weak mark is void if its element holds a main element, or most of the page's text."""
+    if len(scopes) == 1:
+        return
+    ends = [0]
+    for b in blocks:
+        ends.append(ends[-1] + len(b.text))
+    kinds = [PLAIN]
+    for outer, mark, a, b, holds in scopes[1:]:
+        kind = kinds[outer]
+        if kind == OUT:
+            pass
+        elif mark == MAIN:
+            kind = IN_MAIN
+        elif not (mark in (WEAK, TALK) and holds or mark == WEAK and 2 * (ends[b] - ends[a]) > ends[-1]):
+            kind = OUT
+        kinds.append(kind)
+    for block in blocks:
+        block.kind = kinds[block.scope]
+
+
+class _Words(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+_WORDS = _Words()
+
+
+def word_tokens(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all words of the blocks, and how many each block has."""
+    words = [b.text.split(" ") for b in blocks]
+    size = np.array([len(w) for w in words], np.int64)
+    if not len(size):
+        return np.zeros(0, np.uint64), size
+    known = _WORDS
+    token = np.array([known[x] for w in words for x in w], np.uint64)
+    path = np.array([b.path for b in blocks], np.uint64)
+    last = np.cumsum(size) - 1
+    before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])
+    before[last - size + 1] = 0
+    token = (token ^ np.repeat(path, size) ^ before * np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15)
+    token[last] ^= np.uint64(0x14057B7EF767814F)  # the word ends its block
+    # the second, third, ... of equal ones are tokens of their own
+    by = np.argsort(token, kind="stable")
+    run = token[by]
+    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    nth = np.empty(len(token), np.uint64)
+    nth[by] = np.arange(len(token)) - np.repeat(new, np.diff(np.append(new, len(token))))
+    return token ^ nth * np.uint64(0xD1342543DE82EF95), size
+
+
+@dataclass(slots=True)
+class Tokens:
+    """A page's tokens, tags before words, with their places in the page."""
+
+    all: np.ndarray
+    place: np.ndarray
+    n_tags: int
+    words: np.ndarray  # of each block, how many
+
+
+def tokens_of(page: Page) -> Tokens:
+    words, size = word_tokens(page.blocks)
+    tags = np.array(page.tags, np.uint64)
+    after = np.array([b.after for b in page.blocks], np.int64)
+    before = np.concatenate([[0], np.cumsum(size)])  # words before each block
+    place = np.concatenate([np.arange(len(tags)) + before[np.searchsorted(after, np.arange(len(tags)), "left")], np.repeat(after + 1, size) + np.arange(len(words))])
+    return Tokens(np.concatenate([tags, words]), place, len(tags), size)
+
+
+def content_key(page: Page) -> int:
+    """The same for pages of the same texts in the same order, also under different urls: odd, a page's weight in occurrence vectors."""
+    return xxhash.xxh64_intdigest("\n".join(b.text for b in page.blocks), 3) | 1
 
 
 def host_column(url: str):
@@ -253,137 +329,319 @@ def section_column(url: str):
     return F.when(folder != "", F.concat(host_column(url), folder))
 
 
-def _content_key(page: Page) -> int:
-    """The same for pages of the same texts in the same order, also under different urls."""
-    texts = [t for t in page.tokens if t in page.texts]
-    return xxhash.xxh64_intdigest(np.array(texts, np.uint64).tobytes(), 3) >> 1
-
+# ---- first scan: candidates ---------------------------------------------------------------------------------------
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """(host, section, html) of the same: one page of each content; copies and mirrors are no template."""
 
-    def keyed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = [_content_key(parse(h)) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), batch.column(2)], ["host", "section", "key", "html"])
+def _masks(key: int) -> tuple[int, int]:
+    """Two bits that a page sets, in two masks."""
+    return 1 << (key >> 8 & 63), 1 << (key >> 16 & 63)
 
-    return map_batches(pages.select("host", "section", "html"), keyed, "host string, section string, key long, html string").groupBy("host", "key").agg(F.min(F.struct("section", "html")).alias("p")).select("host", "p.*")
 
+def _signed(x) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
-def _page_key(html: str | None) -> int:
-    """A page's weight in occurrence vectors: odd and 64 bits wide."""
-    return xxhash.xxh64_intdigest(html or "", 7) | 1
 
+def candidates(pages: DataFrame) -> DataFrame:
+    """(level, tokens array<long>): what may be on half of the pages of each host or section with MIN_PAGES different pages.
 
-def token_statistics(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, vector, n_pages, place) of (host, section, html): each token's occurrence vector sum over the different pages of a host, and of a section in the host's place."""
+    gain is a token's pages less those that a slice which does not send it may have; room is the sum of the latter.
+    """
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], list] = {}
-        mask = (1 << 64) - 1
+        names: dict[str, int] = {}
+        own, masks, level, token = [], [], [], []
         for host, section, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page, key = parse(html), _page_key(html)
-            seen: dict[int, list[int]] = {}
-            for i, t in enumerate(page.tokens):
-                if t in seen:
-                    seen[t][0] += 1
-                else:
-                    seen[t] = [1, i]
-            whole = max(1, len(page.tokens))
-            seen[0] = [1, 0]  # the host's pages themselves
-            for t, (c, i) in seen.items():
-                for level in (host,) if section is None else (host, section):
-                    s = sums.setdefault((level, t), [0, 0, 0.0, t in page.texts])
-                    s[0] = s[0] + c * key & mask
-                    s[1] += 1
-                    s[2] += i / whole
-        v = list(sums.values())
-        signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            page = parse(html)
+            distinct = np.unique(tokens_of(page).all)
+            one, two = _masks(content_key(page))
+            for name in (host,) if section is None else (host, section):
+                i = names.setdefault(name, len(names))
+                if i == len(own):
+                    own.append(0)
+                    masks.append([0, 0])
+                own[i] += 1
+                masks[i][0] |= one
+                masks[i][1] |= two
+                level.append(np.full(len(distinct), i))
+                token.append(distinct)
+        level, token, own = np.concatenate(level), np.concatenate(token), np.array(own)
+        by = np.lexsort((token, level))
+        level, token = level[by], token[by]
+        first = np.flatnonzero(np.concatenate([[len(level) > 0], (level[1:] != level[:-1]) | (token[1:] != token[:-1])])) if len(level) else np.zeros(0, np.int64)
+        on = np.diff(np.append(first, len(level)))
+        level, token = level[first], token[first]
+        sent = 2 * on >= own[level]
+        level, token, gain = level[sent], token[sent], on[sent] - (own[level[sent]] - 1) // 2
+        n = len(names)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in sums], pa.string()), signed([t for _, t in sums]), pa.array([x[3] for x in v], pa.bool_()), signed([x[0] for x in v]), pa.array([x[1] for x in v], pa.int64()), pa.array([x[2] for x in v], pa.float64())],
-            ["host", "token", "is_text", "vector", "n_pages", "place"],
-        )
+            [
+                pa.array(list(names)).take(pa.array(np.concatenate([np.arange(n), level]))), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(token)]),
+                pa.array(np.concatenate([(own - 1) // 2, gain])), pa.concat_arrays([pa.array(own), pa.nulls(len(token), pa.int64())]),
+                *(pa.concat_arrays([_signed([m[i] for m in masks]), pa.nulls(len(token), pa.int64())]) for i in (0, 1)),
+            ], ["level", "token", "gain", "pages", "one", "two"],
+        )
+
+    found = map_batches(pages.select("host", "section", "html"), count, "level string, token long, gain long, pages long, one long, two long")
+    summed = found.groupBy("level", "token").agg(F.sum("gain").alias("gain"), F.sum("pages").alias("pages"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two"))
+    levels = summed.filter(F.col("token").isNull() & (_different() >= MIN_PAGES)).select("level", "pages", F.col("gain").alias("room"))
+    kept = summed.filter(F.col("token").isNotNull()).select("level", "token", "gain").join(levels, "level").filter("2 * (gain + room) >= pages")
+    return kept.groupBy("level").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+
 
-    found = map_batches(pages.select("host", "section", "html"), count, "host string, token long, is_text boolean, vector long, n_pages long, place double")
+def _different():
+    """How many different pages there are at least, by two masks."""
+    return F.greatest(F.bit_count("one"), F.bit_count("two"))
+
+
+def joined(rows: DataFrame, levels: DataFrame, size: int, column: str) -> DataFrame:
+    """rows with the column of their host (``host_<column>``) and of their section; levels are broadcast if their checked size is small."""
+    for level in ("host", "section"):
+        named = levels.select(F.col("level").alias(level), F.col(column).alias(f"{level}_{column}"))
+        if size <= BROADCAST_TOKENS:
+            rows = rows.join(F.broadcast(named), level, "left")
+        else:
+            salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url", "html"), F.lit(SALTS)).cast("int")).join(salted, [level, "salt"], "left").drop("salt")
+    return rows
+
+
+# ---- second scan: vectors and slots -------------------------------------------------------------------------------
+
+
+class _Sums:
+    """What is added up for the candidates of one host or section."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        self.tokens = tokens
+        self.vector, self.one, self.two = (np.zeros(n, np.uint64) for _ in range(3))
+        self.pages, self.total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.place = np.zeros(n)
+        self.word = np.zeros(n, bool)
+        self.chars = np.zeros((n, 3), np.int64)  # of the slot after a tag, by kind
+        self.all = np.zeros(3, np.int64)  # of all text but candidates, by kind
+        self.whole = 0
+
+    def add(self, page: Page, t: Tokens, key: int) -> None:
+        self.whole += 1
+        place = np.searchsorted(self.tokens, t.all)
+        known = np.flatnonzero(self.tokens[np.minimum(place, len(self.tokens) - 1)] == t.all)
+        at, first, count = np.unique(place[known], return_index=True, return_counts=True)
+        one, two = _masks(key)
+        self.vector[at] += count.astype(np.uint64) * np.uint64(key)
+        self.one[at] |= np.uint64(one)
+        self.two[at] |= np.uint64(two)
+        self.pages[at] += 1
+        self.total[at] += count
+        self.place[at] += t.place[known[first]] / max(1, len(t.all))
+        self.word[at] |= known[first] >= t.n_tags
+        # text by the nearest candidate tag before it
+        fixed = np.zeros(len(t.all) - t.n_tags, bool)
+        fixed[known[known >= t.n_tags] - t.n_tags] = True
+        open_ = ~np.logical_and.reduceat(fixed, np.cumsum(t.words) - t.words) if len(t.words) else np.zeros(0, bool)
+        tag = known[known < t.n_tags]
+        for b, is_open, i in zip(page.blocks, open_.tolist(), (np.searchsorted(tag, [b.after for b in page.blocks], "right") - 1).tolist(), strict=True):
+            if i >= 0:
+                self.chars[place[tag[i]], b.kind] += len(b.text)
+            self.all[b.kind] += len(b.text) * is_open
+
+
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    """Views of a list column's rows."""
+    flat, offset = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] if ok else None for a, b, ok in zip(offset[:-1], offset[1:], column.is_valid().to_pylist(), strict=True)]
+
+
+STATISTICS = "level string, token long, word boolean, vector long, pages long, total long, place double, one long, two long, main long, plain long, other long"
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    """STATISTICS of (host, section, html, host_tokens, section_tokens): the candidates' occurrence vectors and slots; the row without a token is the level's own."""
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, _Sums] = {}
+        host, section, html = (batch.column(i).to_pylist() for i in range(3))
+        own, inner = _lists(batch.column(3)), _lists(batch.column(4))
+        for h, s, text, a, b in zip(host, section, html, own, inner, strict=True):
+            if a is None and b is None:
+                continue
+            page = parse(text)
+            t, key = tokens_of(page), content_key(page)
+            for name, tokens in ((h, a), (s, b)):
+                if tokens is not None:
+                    if name not in sums:
+                        sums[name] = _Sums(np.sort(tokens.view(np.uint64)))
+                    sums[name].add(page, t, key)
+        for name, s in sums.items():
+            n = len(s.tokens)
+            first = lambda x, y: pa.concat_arrays([pa.array([x], y.type), y])
+            zero = pa.array(np.zeros(n, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * (n + 1)), first(None, _signed(s.tokens)), first(None, pa.array(s.word)), first(None, _signed(s.vector)), first(s.whole, pa.array(s.pages)), first(0, pa.array(s.total)),
+                    first(0.0, pa.array(s.place)), first(0, _signed(s.one)), first(0, _signed(s.two)), *(pa.concat_arrays([pa.array([int(s.all[i])]), pa.array(s.chars[:, i]) if n else zero]) for i in range(3)),
+                ], [c.split()[0] for c in STATISTICS.split(", ")],
+            )
+
+    found = map_batches(rows.select("host", "section", "html", "host_tokens", "section_tokens"), count, STATISTICS)
     # vectors are sums modulo 2**64: halves are added apart, so that nothing overflows
     low, high = F.col("vector").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("vector", 32)
-    return (
-        found.groupBy("host", "token")
-        .agg(F.max("is_text").alias("is_text"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("place").alias("place"))
-        .selectExpr("host", "token", "is_text", "n_pages", "place / n_pages as place", "(low + ((high & 4294967295L) * 4294967296BD % 18446744073709551616BD)) % 18446744073709551616BD as vector")
-    )
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", "place", "main", "plain", "other")]
+    added = found.groupBy("level", "token").agg(F.max("word").alias("word"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two"), *sums)
+    return added.selectExpr("*", "low & 4294967295L as low32", "(high + shiftright(low, 32)) & 4294967295L as high32").drop("low", "high")
 
 
-def templates(stats: DataFrame) -> DataFrame:
-    """(host, template array<struct<c, t, x, w>>): the tokens of each host's large classes, by class and place; x says that a token is text, w that its class is on all different pages."""
-    hosts = stats.filter("token = 0").select("host", F.col("n_pages").alias("host_pages"))
-    large = stats.filter(f"token <> 0 and n_pages >= {MIN_PAGES}").join(hosts, "host").filter(F.col("n_pages") >= F.lit(MIN_SHARE) * F.col("host_pages"))
-    classes = large.groupBy("host", "vector").agg(F.max(F.col("n_pages") == F.col("host_pages")).alias("whole"), F.sort_array(F.collect_list(F.struct("place", "token", "is_text"))).alias("tokens")).filter("size(tokens) >= 2")
-    # a class has no more tokens than the pages it is on, and a host no more classes than 1 / MIN_SHARE times that
-    numbered = classes.select("host", F.expr("transform(tokens, t -> named_struct('c', abs(hash(vector)), 't', t.token, 'x', t.is_text, 'w', whole))").alias("part"))
-    return numbered.groupBy("host").agg(F.flatten(F.collect_list("part")).alias("template"))
-
-
-def fixed_texts(page: Page, template: list[dict] | None) -> set[int]:
-    """Text tokens of the template's valid classes on this page."""
-    if not template:
-        return set()
-    place: dict[int, list[int]] = {}
-    for i, t in enumerate(page.tokens):
-        place.setdefault(t, []).append(i)
-    classes: dict[int, list[tuple[int, bool]]] = {}
-    for row in template:
-        classes.setdefault(row["c"], []).append((row["t"] & (1 << 64) - 1, row["x"]))
-    whole = {row["c"] for row in template if row["w"]}
-    sizes: dict[int, int] = {}
-    for b in page.blocks:
-        sizes[b.token] = sizes.get(b.token, 0) + b.size * (not b.chrome)
-    spans, texts = [], []
-    for c, tokens in classes.items():
-        at = [place[t][0] for t, _ in tokens if t in place]
-        if len(at) < 2 or any(a > b for a, b in zip(at, at[1:], strict=False)):
-            continue  # not on the page, or out of the template's order
-        spans.append((at[0], max(place[t][-1] for t, _ in tokens if t in place)))
-        found = {t for t, x in tokens if x and t in place}
-        # most of a page's text is no template of some pages, but what near copies of one page share
-        texts.append(found if c in whole or 2 * sum(sizes[t] for t in found) <= sum(sizes.values()) else set())
-    out: set[int] = set()
-    for i, (a, b) in enumerate(spans):
-        if not texts[i]:
-            continue
-        # valid if it nests with the spans of all others: apart, inside or around
-        if all(j == i or b < c or d < a or c <= a and b <= d or a <= c and d <= b for j, (c, d) in enumerate(spans)):
-            out |= texts[i]
-    return out
+TEMPLATE = "struct<has_main boolean, classes array<struct<whole boolean, tokens array<struct<place double, token long, word boolean, once boolean, content boolean>>>>>"
 
 
-def main_text(page: Page, template: list[dict] | None, section: list[dict] | None = None) -> str:
-    """Blocks of the content slots in page order, one a line."""
-    fixed = fixed_texts(page, template) | fixed_texts(page, section)
-    if page.has_main:
-        kept = [b for b in page.blocks if b.content]
-        # small article cards beside a longer text are teasers
-        if 2 * sum(b.size for b in kept) >= sum(b.size for b in page.blocks if not b.chrome and b.token not in fixed):
-            return "\n".join(b.text for b in kept if b.token not in fixed)
-    return "\n".join(b.text for b in page.blocks if not b.chrome and b.token not in fixed)
+def templates(stats: DataFrame) -> DataFrame:
+    """(level, template, n): the classes of each host and section, and of each tag's slot whether it is content; n counts the tokens.
+
+    has_main says that most of the text that is no fixed text stands in article or main elements: then these are the content.
+    """
+    levels = stats.filter("token is null").select("level", F.col("pages").alias("level_pages"), F.expr("main > 0 and main >= plain").alias("has_main"))
+    large = stats.filter("token is not null").filter(_different() >= F.when(F.col("word"), TEXT_PAGES).otherwise(MIN_PAGES)).join(levels, "level").filter(F.col("pages") >= F.when(F.col("word"), TEXT_SHARE).otherwise(0.5) * F.col("level_pages"))
+    inside = F.when(F.col("has_main"), F.col("main")).otherwise(F.col("main") + F.col("plain"))
+    written = F.col("main") + F.col("plain") + F.col("other")
+    token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "word", (F.col("total") == F.col("pages")).alias("once"), F.when(written > 0, 2 * inside > written).alias("content"))
+    classes = large.groupBy("level", "has_main", "low32", "high32", "pages", "total").agg(F.first(F.col("pages") == F.col("level_pages")).alias("whole"), F.sort_array(F.collect_list(token)).alias("tokens")).filter("size(tokens) >= 2")
+    # half of the pages have each token: a host has no more tokens here than two pages have on the average
+    return classes.groupBy("level", "has_main").agg(F.collect_list(F.struct("whole", "tokens")).alias("classes"), F.sum(F.size("tokens")).alias("n")).select("level", F.struct("has_main", "classes").alias("template"), "n")
+
+
+# ---- third scan: extraction ---------------------------------------------------------------------------------------
+
+
+class Template:
+    """A host's or section's template, made ready for its pages."""
+
+    def __init__(self, row: dict):
+        self.has_main = row["has_main"]
+        rows = [(c, t) for c, one in enumerate(row["classes"]) for t in one["tokens"]]
+        token = np.array([t["token"] for _, t in rows], np.int64).view(np.uint64)
+        by = np.argsort(token)
+        self.token = token[by]
+        self.cls = np.array([c for c, _ in rows])[by]
+        self.rank = np.arange(len(rows))[by]  # the template's order within a class
+        self.word = np.array([t["word"] for _, t in rows], bool)[by]
+        self.once = np.array([t["once"] for _, t in rows], bool)[by]
+        self.whole = np.array([c["whole"] for c in row["classes"]], bool)
+        self.content = {int(t["token"]) & ALL: t["content"] for _, t in rows if not t["word"]}
+
+    def fixed(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word of a page, whether it is in a valid class, and whether that is on all pages."""
+        out, whole = np.zeros(len(t.all) - t.n_tags, bool), np.zeros(len(t.all) - t.n_tags, bool)
+        at = np.minimum(np.searchsorted(self.token, t.all), len(self.token) - 1)
+        known = np.flatnonzero(self.token[at] == t.all)
+        if not self.word[at[known]].any():
+            return out, whole
+        cls = self.cls[at[known]]
+        spans: list[tuple[int, int]] = []
+        by = np.argsort(cls, kind="stable")
+        edges = np.flatnonzero(np.diff(cls[by], prepend=-1, append=-1))
+        groups = [known[by[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        # classes with many tokens first: they are the frame that others must nest in
+        for group in sorted(groups, key=lambda g: -len(g)):
+            i = at[group]
+            once = self.once[i]
+            if once.any():
+                rank = self.rank[i[once]][np.argsort(t.place[group[once]], kind="stable")]
+                in_order = group[once][np.argsort(t.place[group[once]], kind="stable")][_increasing(rank)]
+                group = np.concatenate([in_order, group[~once]])
+            if len(np.unique(at[group])) < 2:
+                continue
+            a, b = int(t.place[group].min()), int(t.place[group].max())
+            if any(c < a <= d < b or a < c <= b < d for c, d in spans):
+                continue  # it crosses another class
+            spans.append((a, b))
+            words = group[group >= t.n_tags] - t.n_tags
+            out[words] = True
+            whole[words] = self.whole[self.cls[at[group[0]]]]
+        return out, whole
+
+
+def _increasing(rank: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing run of ranks."""
+    if (rank[1:] > rank[:-1]).all():
+        return np.arange(len(rank))
+    tops: list[int] = []
+    ends: list[int] = []
+    back = []
+    for i, r in enumerate(rank.tolist()):
+        k = bisect_left(tops, r)
+        tops[k : k + 1] = [r]
+        ends[k : k + 1] = [i]
+        back.append(ends[k - 1] if k else -1)
+    out, i = [], ends[-1]
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return np.array(out[::-1])
+
+
+def own_template(page: Page) -> bool:
+    """What a page tells of itself where no host's template can: whether its article or main elements hold most of its text."""
+    size = [0, 0, 0]
+    for b in page.blocks:
+        size[b.kind] += len(b.text)
+    return size[IN_MAIN] > 0 and size[IN_MAIN] >= size[PLAIN]
+
+
+def main_text(page: Page, found: list[Template] | None) -> str:
+    """Blocks of the content slots in page order, one a line. found: the host's and the section's template; None: the page is a template of its own; []: there is none, and no slot is named."""
+    if found is not None and not found:
+        return "\n".join(b.text for b in page.blocks)
+    has_main = found[-1].has_main if found else own_template(page)
+    named = [b.kind == IN_MAIN if has_main else b.kind != OUT for b in page.blocks]
+    if not found or not page.blocks:
+        return "\n".join(b.text for b, ok in zip(page.blocks, named, strict=True) if ok)
+    # the slot of a block: that of the nearest tag of the template before it; if an element that is not in the template opens between, its own name
+    label: dict[int, bool | None] = {}
+    for template in found:
+        label |= template.content
+    t = tokens_of(page)
+    for i, b in enumerate(page.blocks):
+        content = label.get(page.tags[b.after]) if b.after >= 0 else None
+        if content is not None:
+            named[i] = content
+    fixed, whole = np.zeros(len(t.all) - t.n_tags, bool), np.zeros(len(t.all) - t.n_tags, bool)
+    for template in found:
+        one, two = template.fixed(t)
+        fixed |= one
+        whole |= two
+    start = np.cumsum(t.words) - t.words
+    gone, sure = np.logical_and.reduceat(fixed, start), np.logical_and.reduceat(whole, start)
+    size = np.array([len(b.text) * ok for b, ok in zip(page.blocks, named, strict=True)])
+    if 2 * size[gone].sum() > size.sum():
+        gone &= sure  # most of a page's text is no template of some pages, but what near copies of one page share
+    return "\n".join(b.text for b, ok, cut in zip(page.blocks, named, gone.tolist(), strict=True) if ok and not cut)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(url_col).alias("host"), section_column(url_col).alias("section"))
-    shapes = stored(templates(token_statistics(stored(distinct_pages(rows), "distinct-pages"))), "templates")
-    size = shapes.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)).alias("n")).first()["n"]
-    joined = rows
-    for level in ("host", "section"):
-        named = shapes.select(F.col("host").alias(level), F.col("template").alias(f"{level}_template"))
-        if size <= BROADCAST_TOKENS:
-            joined = joined.join(F.broadcast(named), level, "left")
-        else:
-            salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            joined = joined.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, [level, "salt"], "left").drop("salt")
+    asked = stored(candidates(rows), "candidates")
+    size = asked.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
+    shapes = stored(templates(statistics(joined(rows, asked, size, "tokens"))), "templates")
+    drop_stored(asked)
+    size = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        text = [main_text(parse(html), one, two) for html, one, two in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+        host, section = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        ready: dict[str, Template | None] = {}
+        for level, names in ((5, host), (6, section)):
+            column = batch.column(level)
+            for i, name in enumerate(names):
+                if name is not None and name not in ready:
+                    row = column[i].as_py()
+                    ready[name] = Template(row) if row is not None else None
+        text = []
+        for html, h, s in zip(batch.column(2).to_pylist(), host, section, strict=True):
+            page = parse(html)
+            found = [x for x in (ready.get(h), ready.get(s) if s is not None else None) if x is not None]
+            text.append(main_text(page, found or None))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    return map_batches(joined.select("id", "url", "html", "host_template", "section_template"), run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    out = joined(rows, shapes, size, "template").select("id", "url", "html", "host", "section", "host_template", "section_template")
+    return map_batches(out, run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)

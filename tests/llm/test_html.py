@@ -110,3 +110,51 @@ def test_copies_are_no_template_and_sections_have_their_own(spark):
 def test_linked_blocks_of_the_text_stay():
     page = "<div><h2><a href=/a>A linked headline</a></h2><p>Some text.</p><p>See <a href=/x>the other long page on it</a></p><ul><li><a href=/r>First reference</a></ul></div>"
     assert text_of(page) == "A linked headline\nSome text.\nSee the other long page on it\nFirst reference"
+
+
+def test_article_text_stays_and_empty_comments_end():
+    page = '<article><div class="entry-header"><h1>Title</h1></div><p>Body</p><p class="legal-history">Kept?</p><!--><p>after</p><!---><p>end</article>'
+    assert text_of(page) == "Title\nBody\nKept?\nafter\nend"
+
+
+def test_withheld_templates_change_the_result(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert all(H.main_text(H.parse(p["html"]), []) != plain(p["html"]) for p in pages)
+
+
+def vectors(pages):
+    """Occurrence vectors over the different pages, by brute force: token to counts."""
+    found, weights = {}, {}
+    parsed = {H.content_key(p): p for p in map(H.parse, pages)}
+    for n, page in enumerate(parsed.values()):
+        t = H.tokens_of(page)
+        for i, token in enumerate(t.all.tolist()):
+            found.setdefault(token, [0] * len(parsed))[n] += 1
+            weights[token] = i >= t.n_tags
+    return found, weights, len(parsed)
+
+
+def test_classes_are_those_of_literal_vectors(spark, sf):
+    by_host = {}
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        by_host.setdefault(re.match(r"\w+://([^/?#]*)", p["url"])[1], []).append(p["html"])
+    by_host = dict(sorted(by_host.items(), key=lambda x: -len(x[1]))[:6])
+    rows = [(i, f"https://{h}/{i}", x) for h, pages in by_host.items() for i, x in enumerate([*pages, pages[0]])]
+    frame = H.extract  # the scans as extract() chains them
+    assert frame(spark.createDataFrame(rows, "page_id long, url string, html string")).count() == len(rows)
+    df = spark.createDataFrame(rows, "id long, url string, html string").withColumn("host", H.host_column("url")).withColumn("section", F.lit(None).cast("string"))
+    shapes = H.templates(H.statistics(H.joined(df, H.candidates(df), 0, "tokens"))).collect()
+    assert len(shapes) >= 2
+    for shape in shapes:
+        pages = by_host[shape["level"]]
+        found, is_word, n = vectors(pages)
+        on = {t: sum(c > 0 for c in v) for t, v in found.items()}
+        copies = [1 + (H.content_key(H.parse(pages[0])) == k) for k in dict.fromkeys(H.content_key(H.parse(p)) for p in pages)]
+        share = {t: sum(m for c, m in zip(v, copies, strict=True) if c) for t, v in found.items()}
+        classes = {}
+        for t, v in found.items():
+            if on[t] >= (H.TEXT_PAGES if is_word[t] else H.MIN_PAGES) and share[t] >= (H.TEXT_SHARE if is_word[t] else 0.5) * sum(copies):
+                classes.setdefault(tuple(v), set()).add(t)
+        expected = sorted(sorted(c) for c in classes.values() if len(c) >= 2)
+        got = sorted(sorted(t["token"] & H.ALL for t in c["tokens"]) for c in shape["template"]["classes"])
+        assert got == expected and n >= H.MIN_PAGES
