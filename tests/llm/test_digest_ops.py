@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -368,3 +369,36 @@ def test_top_k_bounds_hold():
     for segments in topk.LEVELS:
         bound = topk.segment_statistics(q, segments) @ topk.segment_statistics(c, segments).T
         assert (bound >= q @ c.T - 1e-9).all()
+
+
+def test_top_k_repeated_queries_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [0.5, 0.0]), (20, [0.25, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(topk.quantized(df, "vec_id", "embedding"), F.col("id") == 0, 2).collect())
+    assert got == [(0, 1, 0, 4096), (0, 1, 0, 4096), (0, 2, 5, 2048), (0, 2, 5, 2048)]
+    huge = spark.createDataFrame([(0, [3e38, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(topk.quantized(huge, "vec_id", "embedding"), F.col("id") == 0, 2).collect()
+    large = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(topk.quantized(large, "vec_id", "embedding"), F.col("id") == 0, 2).collect()
+    q = np.array([[2**40 + 1, 3]]), np.array([[2**20 + 7, -1], [5, 5]])
+    _, place, score = topk.search_block(np.array([9]), q[0], np.array([1, 2]), q[1], np.array([1, 2]), 2)
+    assert dict(zip(place.tolist(), score.tolist(), strict=True)) == {0: (2**40 + 1) * (2**20 + 7) - 3, 1: 5 * (2**40 + 4)}
+
+
+def test_top_k_bounds_drop_most_pairs():
+    rows = np.array([r["embedding"] for r in pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist()])
+    v, ids = np.floor(64 * rows).astype(np.int64), np.arange(len(rows))
+    report = []
+    a, b, s = topk.search_block(ids[::20], v[::20], ids, v, ids, 20, topk.rotation(v.astype(float)), report=report)
+    plain = v[::20] @ v.T
+    plain[np.arange(len(plain)), ids[::20]] = -(2**40)
+    assert sorted(s.tolist()) == sorted(np.sort(plain, axis=1)[:, -20:].ravel().tolist())
+    old, topk.TILE_ROWS = topk.TILE_ROWS, 256
+    try:
+        a2, b2, s2 = topk.search_block(ids[::20], v[::20], ids, v, ids, 20, topk.rotation(v.astype(float)), report=report)
+    finally:
+        topk.TILE_ROWS = old
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(a2.tolist(), b2.tolist(), strict=True))
+    assert sum(x for x, _ in report) < 0.2 * sum(y for _, y in report)
