@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without: there it is a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share ({master} has machines of its own)")
         folder = f"file:///tmp/checkpoints/tessera-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -74,9 +78,10 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def spread(df: DataFrame, rows_or_bytes: int, each: int, *keys) -> DataFrame:
-    """Deal rows out by keys to as many partitions as the amount asks for."""
-    return df.repartition(max(1, -(-rows_or_bytes // each)), *keys)
+def below(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
+    """About so many rows of df, those with the least 64-bit hashes; all if there are no more. Nothing is sorted, and rows of equal hash stay together."""
+    total = df.count()
+    return df if total <= rows else df.filter(F.col(hash_col) < F.lit(-(1 << 63) + (1 << 64) * rows // total))
 
 
 def hashed(column: str):

@@ -23,7 +23,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hashed, spread, stored
+from tessera.llm.common import hashed, stored
 
 SPLIT_BITS = 10  # a range is split into 2**10 parts
 SLOT_ROWS = 50_000  # rows that one window of the numbering holds, about
@@ -196,4 +196,4 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def shard_files(df: DataFrame, assigned: DataFrame, id_col: str, path: str) -> None:
     """Write the rows as one folder for each shard, in files of slot order; df's rows are found by a unique id."""
     both = df.join(assigned.select(F.col(id_col), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")), id_col)
-    spread(both, both.count(), SLOT_ROWS, "_shard", F.floor(F.col("_slot") / SLOT_ROWS)).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    both.repartition(max(1, -(-both.count() // SLOT_ROWS)), "_shard", F.floor(F.col("_slot") / SLOT_ROWS)).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
