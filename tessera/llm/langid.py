@@ -13,7 +13,10 @@ the share of its letters, weighed with how sure the words' scores are.
 
 Null texts and texts without a letter are ``und`` with score 0. Words in scripts
 that no language was learned in score all languages alike. Without any usable
-training row every text is ``und``. Repeated rows are predicted each for itself.
+training row every text is ``und``; an empty table gives no rows. Ties go to the
+language that is first by name. Repeated rows are predicted each for itself, long
+texts as a whole. Columns other than the named ones are not read, or stay as they
+are (``keep``), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import below, map_batches
 
 UND = "und"
 TABLE_BITS = 16  # n-gram hash buckets
-SAMPLE_ROWS = 4_000  # labelled rows that the model is fitted on, at most, those with the least hash of their id
+SAMPLE_ROWS = 4_000  # labelled rows that the model is fitted on, about, those with the least hash of id and text
+FIT_TASKS = 4  # that count them: each returns one table of fixed size for each language
 SWITCH = 12.0  # cost of a change of language between two words
 SMOOTH = 0.5
 SCORED_CHARS = 1 << 20  # characters whose n-grams are looked up together; one longer text is looked up alone
@@ -180,13 +184,9 @@ def fit(counts: np.ndarray, scripts: np.ndarray, languages: list[str], switch: f
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows: int = SAMPLE_ROWS, switch: float = SWITCH) -> Model:
-    """Fit on at most sample_rows labelled rows, those with the least hash of id and text; counts are made on the executors."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-    total = rows.count()
-    if total > sample_rows:
-        # a threshold on the hash keeps about sample_rows rows without sorting the corpus
-        cut = -(1 << 63) + int((1 << 64) * sample_rows / total)
-        rows = rows.filter(F.col("h") < cut)
+    """Fit on about sample_rows labelled rows, those with the least hash of id and text; counts are made on the executors."""
+    labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = below(labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h")), "h", sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
@@ -200,8 +200,8 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
                 mine[1] += np.bincount(w.script, w.size, len(NAMES)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([g.astype("<i8").tobytes() for g, _ in sums.values()], pa.binary()), pa.array([s.astype("<i8").tobytes() for _, s in sums.values()], pa.binary())], ["lang", "grams", "scripts"])
 
-    # a few partitions: each returns one fixed-size table for each language
-    found = rows.select("text", "lang").coalesce(4).mapInArrow(count, "lang string, grams binary, scripts binary").collect()
+    # all tasks scan and filter, and a few count what is left
+    found = rows.select("text", "lang").repartition(FIT_TASKS).mapInArrow(count, "lang string, grams binary, scripts binary").collect()
     languages = sorted({r["lang"] for r in found})
     counts = np.zeros((len(GRAMS), 1 << TABLE_BITS, len(languages)))
     scripts = np.zeros((len(NAMES), len(languages)))
@@ -230,6 +230,14 @@ def scored_words(model: Model, texts: list[str | None]) -> tuple[np.ndarray, Wor
     return np.concatenate(scores), Words([], place, np.arange(len(place)), size, text, script)
 
 
+def _sureness(score: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How sure each word's label is: its probability among the languages."""
+    if not len(score):
+        return np.zeros(0)
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p[np.arange(len(p)), label] / p.sum(axis=1)
+
+
 def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, Words, np.ndarray]:
     """Language and score of each text; the words and their labels."""
     n, k = len(texts), len(model.languages)
@@ -241,19 +249,24 @@ def predict_batch(model: Model, texts: list[str | None]) -> tuple[list[str], np.
     letters = np.zeros((n, k))
     np.add.at(letters, (w.text, label), w.size)
     total = letters.sum(axis=1)
-    # how sure: the mean probability of the label among the languages, over the words
-    if len(score):
-        p = np.exp(score - score.max(axis=1, keepdims=True))
-        sure = p[np.arange(len(p)), label] / p.sum(axis=1)
-        sure = np.bincount(w.text, sure * w.size, n) / np.maximum(total, 1)
-    else:
-        sure = np.zeros(n)
+    sure = np.bincount(w.text, _sureness(score, label) * w.size, n) / np.maximum(total, 1)
     best = letters.argmax(axis=1)
     share = letters[np.arange(n), best] / np.maximum(total, 1)
     names = [model.languages[b] if t else UND for b, t in zip(best, total, strict=True)]
     return names, np.clip(share * sure, 0, 1), w, label
 
 
+def language_share(model: Model, texts: list[str | None], languages: tuple[str, ...] | None = None) -> np.ndarray:
+    """The share of each text's letters that stand in spans of the languages, weighed with how sure the words are; 0 without a letter."""
+    n = len(texts)
+    if not model.languages:
+        return np.zeros(n)
+    score, w = scored_words(model, texts)
+    label = viterbi(score, w.text, n, model.switch)
+    asked = np.array([languages is None or x in languages for x in model.languages])
+    return np.bincount(w.text, _sureness(score, label) * w.size * asked[label], n) / np.maximum(np.bincount(w.text, w.size, n), 1)
+
+
 def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """(id, lang_pred, score) of every row."""
     spark = df.sparkSession
@@ -267,14 +280,15 @@ def predict(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFram
     return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep(df: DataFrame, model: Model, text_col: str, min_score: float) -> DataFrame:
-    """The rows of df whose text has a language with at least the score; rows and columns stay as they are."""
+def keep(df: DataFrame, model: Model, text_col: str, languages: tuple[str, ...] | None, min_share: float) -> DataFrame:
+    """The rows of df of whose letters at least a share stands in spans of the given languages (None: of any learned one), each span
+    weighed with how sure its words' scores are; rows and columns stay as they are."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, score, _, _ = predict_batch(shipped.value, batch.column(place).to_pylist())
-        yield batch.filter(pa.array([n != UND and s >= min_score for n, s in zip(names, score, strict=True)], pa.bool_()))
+        share = language_share(shipped.value, batch.column(place).to_pylist(), languages)
+        yield batch.filter(pa.array((share >= min_share) & (share > 0), pa.bool_()))
 
     return map_batches(df, run, df.schema)
 

@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, spans of mixed text, odd rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -61,3 +62,18 @@ def test_odd_rows(spark):
     assert langid.predict(df.limit(0), model, "doc_id", "text").count() == 0
     nothing = langid.train(df.limit(0), "text", "lang", "doc_id")
     assert {r["lang_pred"] for r in langid.predict(df, nothing, "doc_id", "text").collect()} == {"und"}
+
+
+def test_spans_of_kept_languages_decide(spark):
+    en, de = "the of and with this there water house under".split(), "der die und nicht unter haus wasser über straße".split()
+    rng = random.Random(3)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, say(en if i % 2 else de, 60), "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = langid.train(df, "text", "lang", "id")
+    texts = [say(en, 50), say(de, 50), say(en, 40) + " " + say(de, 40), "123 ...", None]
+    share = langid.language_share(model, texts, ("en",))
+    assert share[0] > 0.9 and share[1] < 0.1 and 0.3 < share[2] < 0.7 and share[3] == share[4] == 0
+    asked = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("score", F.lit("s"))
+    assert {r["id"] for r in langid.keep(asked, model, "text", ("en",), 0.6).collect()} == {0}
+    assert {r["id"] for r in langid.keep(asked, model, "text", None, 0.6).collect()} == {0, 1, 2}
