@@ -8,12 +8,15 @@ of them and carry a bitmap of sources and a bitmap of clusters. A piece starts
 at the first bin that is large enough and goes from successor to successor until
 the tightest compatible one is found; if there is none, it opens a bin.
 
-Pieces are dealt out by a hash of id and piece to packing shards of a bounded
-number of rows, each packed by itself: a source with a third of all rows is
-spread evenly, and the loss is a part of the last open bins of each shard.
+Pieces are dealt out by a hash to packing shards of a bounded number of pieces,
+each packed by itself: a source with a third of all rows, one very long document
+and repeated rows are spread evenly (equal rows are counted, and their copies
+numbered), and the loss is a part of the last open bins of each shard.
 
 Null sources and null clusters conflict with nothing; null and empty texts are
-one end mark long. Repeated rows are packed each for itself. An empty table gives no rows.
+one end mark long. Repeated rows are packed each for itself. Pieces of equal
+length are taken by id and piece. Columns other than the named ones are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 CAPACITY = 32_768
-SHARD_ROWS = 8_192
+SHARD_ROWS = 8_192  # pieces
+COPIES = 1 << 16  # of one row that a task numbers
 SCAN = 64  # bins of the first look; each further look is twice as long
 
 
@@ -91,12 +97,19 @@ def pack_documents(
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("units"), F.col(source_col).cast("string").alias("source"),
         (F.col(cluster_col).cast("string") if cluster_col else F.md5(F.col(text_col).cast("binary"))).alias("cluster"),
     )
-    pieces = rows.select("*", F.posexplode(F.expr(f"sequence(0L, units - 1, {capacity}L)")).alias("piece", "start")).withColumn("length", F.least(F.lit(capacity), F.col("units") - F.col("start")))
-    shards = max(1, -(-rows.count() // shard_rows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(shards)))
+    # equal rows are one until they are dealt out
+    counted = stored(rows.groupBy("id", "units", "source", "cluster").agg(F.count(F.lit(1)).alias("n")), "packing-rows")
+    total, most = counted.agg(F.coalesce(F.sum(F.expr(f"n * ((units + {capacity - 1}L) div {capacity}L)")), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    shards = max(1, -(-total // shard_rows))
+    copies = counted.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES}L)")))
+    if most > COPIES:
+        copies = copies.repartition("id", "cluster", "run")
+    copies = copies.withColumn("copy", F.explode(F.expr(f"sequence(run * {COPIES}L, least(n, (run + 1) * {COPIES}L) - 1)")))
+    pieces = copies.select("id", "units", "source", "cluster", "copy", F.posexplode(F.expr(f"sequence(0L, units - 1, {capacity}L)")).alias("piece", "start")).withColumn("length", F.least(F.lit(capacity), F.col("units") - F.col("start")))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster", "copy"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["id", "piece", "length", "cluster", "copy"], kind="stable", ignore_index=True)
         bins, offset = best_fit(pdf["length"].to_numpy(), pd.factorize(pdf["source"])[0], pd.factorize(pdf["cluster"])[0], capacity)
         out = pd.DataFrame({"bin_id": bins + int(pdf["shard"].iloc[0]) * (1 << 32), "id": pdf["id"], "piece": pdf["piece"], "start": pdf["start"], "length": pdf["length"], "bin_offset": offset, "source": pdf["source"]})
         out = out.sort_values(["bin_id", "bin_offset"], ignore_index=True)

@@ -402,3 +402,19 @@ def test_top_k_bounds_drop_most_pairs():
         topk.TILE_ROWS = old
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(a2.tolist(), b2.tolist(), strict=True))
     assert sum(x for x, _ in report) < 0.2 * sum(y for _, y in report)
+
+
+def test_packing_spreads_repeated_rows_and_long_documents(spark):
+    rows = [(1, "same text", "s")] * 300 + [(2, "long " * 2_000, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(7)).withColumn("copy", F.lit("c")).withColumn("run", F.lit(1))
+    old, packing.COPIES = packing.COPIES, 64
+    try:
+        bins = packing.pack_documents(df, capacity=100, shard_rows=50).collect()
+    finally:
+        packing.COPIES = old
+    _check_bins(bins, 100)
+    shards = {}
+    for r in bins:
+        shards[r["bin_id"] >> 32] = shards.get(r["bin_id"] >> 32, 0) + 1
+    assert len(bins) == 300 + -(-10_001 // 100) and len(shards) >= 8 and max(shards.values()) < 100
+    assert sum(r["doc_id"] == 1 for r in bins) == 300
