@@ -271,46 +271,77 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def word_tokens(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all words of the blocks, and how many each block has."""
-    words = [b.text.split(" ") for b in blocks]
-    size = np.array([len(w) for w in words], np.int64)
-    if not len(size):
-        return np.zeros(0, np.uint64), size
-    known = _WORDS
-    token = np.array([known[x] for w in words for x in w], np.uint64)
-    path = np.array([b.path for b in blocks], np.uint64)
-    last = np.cumsum(size) - 1
-    before = np.concatenate([np.zeros(1, np.uint64), token[:-1]])
-    before[last - size + 1] = 0
-    token = (token ^ np.repeat(path, size) ^ before * np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15)
-    token[last] ^= np.uint64(0x14057B7EF767814F)  # the word ends its block
-    # the second, third, ... of equal ones are tokens of their own
-    by = np.argsort(token, kind="stable")
-    run = token[by]
-    new = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    nth = np.empty(len(token), np.uint64)
-    nth[by] = np.arange(len(token)) - np.repeat(new, np.diff(np.append(new, len(token))))
-    return token ^ nth * np.uint64(0xD1342543DE82EF95), size
+K1, K2, K3, K4 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95))
 
 
-@dataclass(slots=True)
-class Tokens:
-    """A page's tokens, tags before words, with their places in the page."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
 
-    all: np.ndarray
-    place: np.ndarray
-    n_tags: int
-    words: np.ndarray  # of each block, how many
+def _mixed(token: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A key of token and group number."""
+    key = (token ^ (group.astype(np.uint64) + np.uint64(1)) * K4) * K1
+    return key ^ key >> np.uint64(32)
 
 
-def tokens_of(page: Page) -> Tokens:
-    words, size = word_tokens(page.blocks)
-    tags = np.array(page.tags, np.uint64)
-    after = np.array([b.after for b in page.blocks], np.int64)
-    before = np.concatenate([[0], np.cumsum(size)])  # words before each block
-    place = np.concatenate([np.arange(len(tags)) + before[np.searchsorted(after, np.arange(len(tags)), "left")], np.repeat(after + 1, size) + np.arange(len(words))])
-    return Tokens(np.concatenate([tags, words]), place, len(tags), size)
+def _ends(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether all of each group of consecutive values hold."""
+    return np.logical_and.reduceat(x, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
+
+
+class Tokens:
+    """The tokens of some pages, one page after the other: tags, and the words of the blocks. No two words of a page are equal tokens."""
+
+    def __init__(self, pages: list[Page]):
+        blocks = [b for p in pages for b in p.blocks]
+        n_tags, n_blocks = np.array([len(p.tags) for p in pages], np.int64), np.array([len(p.blocks) for p in pages], np.int64)
+        self.tags = np.array([t for p in pages for t in p.tags], np.uint64)
+        self.tag_page = np.repeat(np.arange(len(pages)), n_tags)
+        self.block_page = np.repeat(np.arange(len(pages)), n_blocks)
+        before = np.cumsum(n_tags) - n_tags  # tags before each page
+        self.after = np.array([b.after for b in blocks], np.int64) + before[self.block_page]  # the tag before each block; before the page's first if there is none
+        self.kind, self.chars = np.array([b.kind for b in blocks], np.int64), np.array([len(b.text) for b in blocks], np.int64)
+        self.lone = np.array([b.after < 0 for b in blocks], bool)
+        split = [b.text.split(" ") for b in blocks]
+        self.size = np.array([len(w) for w in split], np.int64)
+        known = _WORDS
+        self.words = self._named(np.array([known[x] for w in split for x in w], np.uint64), np.array([b.path for b in blocks], np.uint64))
+        self.word_page = np.repeat(self.block_page, self.size)
+        # places in the order of all tags and words
+        words = np.cumsum(self.size) - self.size
+        upto = np.append(words, len(self.words))  # words before each block, and all
+        self.tag_place = np.arange(len(self.tags)) + upto[np.searchsorted(self.after, np.arange(len(self.tags)), "left")]
+        self.word_place = np.repeat(self.after + 1, self.size) + np.arange(len(self.words))
+        self.whole = n_tags + np.bincount(self.word_page, minlength=len(pages))  # tokens of each page
+        self.first = np.cumsum(self.whole) - self.whole
+
+    def _named(self, word: np.ndarray, path: np.ndarray) -> np.ndarray:
+        if not len(word):
+            return word
+        last = np.cumsum(self.size) - 1
+        before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])
+        before[last - self.size + 1] = 0
+        token = (word ^ np.repeat(path, self.size) ^ before * K2) * K1
+        token[last] ^= K3  # the word ends its block
+        # the second, third, ... of equal ones of a page are tokens of their own
+        key = _mixed(token, np.repeat(self.block_page, self.size))
+        by = np.argsort(key, kind="stable")
+        new = _runs(key[by])
+        nth = np.empty(len(token), np.uint64)
+        nth[by] = np.arange(len(token)) - np.repeat(new, np.diff(np.append(new, len(token))))
+        return token ^ nth * K4
+
+
+def edge_tokens(block: Block) -> tuple[int, int]:
+    """The tokens of a block's first and last word, as they are where they first occur on a page."""
+    first, _, rest = block.text.partition(" ")
+    if not rest:
+        one = ((_WORDS[first] ^ block.path) * int(K1) & ALL) ^ int(K3)
+        return one, one
+    rest = rest.rsplit(" ", 2)
+    before = rest[-2] if len(rest) > 1 else first
+    return (_WORDS[first] ^ block.path) * int(K1) & ALL, ((_WORDS[rest[-1]] ^ block.path ^ _WORDS[before] * int(K2) & ALL) * int(K1) & ALL) ^ int(K3)
 
 
 def content_key(page: Page) -> int:
@@ -348,44 +379,48 @@ def candidates(pages: DataFrame) -> DataFrame:
     """
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        own, masks, level, token = [], [], [], []
-        for host, section, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page = parse(html)
-            distinct = np.unique(tokens_of(page).all)
-            one, two = _masks(content_key(page))
-            for name in (host,) if section is None else (host, section):
-                i = names.setdefault(name, len(names))
-                if i == len(own):
-                    own.append(0)
-                    masks.append([0, 0])
-                own[i] += 1
-                masks[i][0] |= one
-                masks[i][1] |= two
-                level.append(np.full(len(distinct), i))
-                token.append(distinct)
-        level, token, own = np.concatenate(level), np.concatenate(token), np.array(own)
-        by = np.lexsort((token, level))
-        level, token = level[by], token[by]
-        first = np.flatnonzero(np.concatenate([[len(level) > 0], (level[1:] != level[:-1]) | (token[1:] != token[:-1])])) if len(level) else np.zeros(0, np.int64)
-        on = np.diff(np.append(first, len(level)))
-        level, token = level[first], token[first]
-        sent = 2 * on >= own[level]
-        level, token, gain = level[sent], token[sent], on[sent] - (own[level[sent]] - 1) // 2
-        n = len(names)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(names)).take(pa.array(np.concatenate([np.arange(n), level]))), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(token)]),
-                pa.array(np.concatenate([(own - 1) // 2, gain])), pa.concat_arrays([pa.array(own), pa.nulls(len(token), pa.int64())]),
-                *(pa.concat_arrays([_signed([m[i] for m in masks]), pa.nulls(len(token), pa.int64())]) for i in (0, 1)),
-            ], ["level", "token", "gain", "pages", "one", "two"],
-        )
+        host, section, html = (c.to_pylist() for c in batch.columns)
+        pages = [parse(h) for h in html]
+        t = Tokens(pages)
+        key = _mixed(t.tags, t.tag_page)
+        _, once = np.unique(key, return_index=True)
+        token, page = np.concatenate([t.tags[once], t.words]), np.concatenate([t.tag_page[once], t.word_page])
+        bits = [_masks(content_key(p)) for p in pages]
+        for level in (host, section):
+            names: dict[str, int] = {}
+            code = np.array([names.setdefault(x, len(names)) if x is not None else -1 for x in level], np.int64)
+            n = len(names)
+            if not n:
+                continue
+            own = np.bincount(code[code >= 0], minlength=n)
+            masks = [[0] * n, [0] * n]
+            for c, two in zip(code.tolist(), bits, strict=True):
+                if c >= 0:
+                    masks[0][c] |= two[0]
+                    masks[1][c] |= two[1]
+            mine = np.flatnonzero(code[page] >= 0)
+            mixed = _mixed(token[mine], code[page[mine]])
+            by = np.argsort(mixed)
+            new = _runs(mixed[by])
+            on, some = np.diff(np.append(new, len(mine))), mine[by[new]]
+            at = code[page[some]]
+            sent = 2 * on >= own[at]
+            some, at, gain = token[some[sent]], at[sent], on[sent] - (own[at[sent]] - 1) // 2
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(names)).take(pa.array(np.concatenate([np.arange(n), at]))), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(some)]), pa.array(np.concatenate([(own - 1) // 2, gain])),
+                    pa.concat_arrays([pa.array(own), none]), *(pa.concat_arrays([_signed(m), none]) for m in masks),
+                ], ["level", "token", "gain", "pages", "one", "two"],
+            )
 
     found = map_batches(pages.select("host", "section", "html"), count, "level string, token long, gain long, pages long, one long, two long")
-    summed = found.groupBy("level", "token").agg(F.sum("gain").alias("gain"), F.sum("pages").alias("pages"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two"))
+    summed = stored(found.groupBy("level", "token").agg(F.sum("gain").alias("gain"), F.sum("pages").alias("pages"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two")), "local-shares")
     levels = summed.filter(F.col("token").isNull() & (_different() >= MIN_PAGES)).select("level", "pages", F.col("gain").alias("room"))
     kept = summed.filter(F.col("token").isNotNull()).select("level", "token", "gain").join(levels, "level").filter("2 * (gain + room) >= pages")
-    return kept.groupBy("level").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    out = stored(kept.groupBy("level").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "candidates")
+    drop_stored(summed)
+    return out
 
 
 def _different():
@@ -408,50 +443,61 @@ def joined(rows: DataFrame, levels: DataFrame, size: int, column: str) -> DataFr
 # ---- second scan: vectors and slots -------------------------------------------------------------------------------
 
 
-class _Sums:
-    """What is added up for the candidates of one host or section."""
-
-    def __init__(self, tokens: np.ndarray):
-        n = len(tokens)
-        self.tokens = tokens
-        self.vector, self.one, self.two = (np.zeros(n, np.uint64) for _ in range(3))
-        self.pages, self.total = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.place = np.zeros(n)
-        self.word = np.zeros(n, bool)
-        self.chars = np.zeros((n, 3), np.int64)  # of the slot after a tag, by kind
-        self.all = np.zeros(3, np.int64)  # of all text but candidates, by kind
-        self.whole = 0
-
-    def add(self, page: Page, t: Tokens, key: int) -> None:
-        self.whole += 1
-        place = np.searchsorted(self.tokens, t.all)
-        known = np.flatnonzero(self.tokens[np.minimum(place, len(self.tokens) - 1)] == t.all)
-        at, first, count = np.unique(place[known], return_index=True, return_counts=True)
-        one, two = _masks(key)
-        self.vector[at] += count.astype(np.uint64) * np.uint64(key)
-        self.one[at] |= np.uint64(one)
-        self.two[at] |= np.uint64(two)
-        self.pages[at] += 1
-        self.total[at] += count
-        self.place[at] += t.place[known[first]] / max(1, len(t.all))
-        self.word[at] |= known[first] >= t.n_tags
-        # text by the nearest candidate tag before it
-        fixed = np.zeros(len(t.all) - t.n_tags, bool)
-        fixed[known[known >= t.n_tags] - t.n_tags] = True
-        open_ = ~np.logical_and.reduceat(fixed, np.cumsum(t.words) - t.words) if len(t.words) else np.zeros(0, bool)
-        tag = known[known < t.n_tags]
-        for b, is_open, i in zip(page.blocks, open_.tolist(), (np.searchsorted(tag, [b.after for b in page.blocks], "right") - 1).tolist(), strict=True):
-            if i >= 0:
-                self.chars[place[tag[i]], b.kind] += len(b.text)
-            self.all[b.kind] += len(b.text) * is_open
-
-
 def _lists(column: pa.Array) -> list[np.ndarray | None]:
     """Views of a list column's rows."""
     flat, offset = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [flat[a:b] if ok else None for a, b, ok in zip(offset[:-1], offset[1:], column.is_valid().to_pylist(), strict=True)]
 
 
+def _added(t: Tokens, code: np.ndarray, names: list[str], lists: list[np.ndarray], weight: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    """STATISTICS over some pages: code is the number of each page's host or section (-1: none), lists has the candidates of each."""
+    token, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    mixed = _mixed(token, owner)
+    by = np.argsort(mixed)
+    token, owner, mixed = token[by], owner[by], mixed[by]
+    n = len(token)
+
+    def hits(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(candidate, token) numbers of those that are candidates."""
+        key = _mixed(tokens, code[page])
+        at = np.minimum(np.searchsorted(mixed, key), n - 1)
+        known = np.flatnonzero((mixed[at] == key) & (code[page] >= 0))
+        return at[known], known
+
+    (tag_at, tag), (word_at, word) = hits(t.tags, t.tag_page), hits(t.words, t.word_page)
+    at = np.concatenate([tag_at, word_at])
+    page, place = np.concatenate([t.tag_page[tag], t.word_page[word]]), np.concatenate([t.tag_place[tag], t.word_place[word]])
+    vector, masks = np.zeros(n, np.uint64), [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    np.add.at(vector, at, weight[page])
+    _, first = np.unique(at * len(code) + page, return_index=True)  # each page once; a token's first place on it
+    for mask, bits in zip(masks, (one, two), strict=True):
+        np.bitwise_or.at(mask, at[first], bits[page[first]])
+    share = (place - t.first[page])[first] / np.maximum(1, t.whole[page[first]])
+    is_word = np.zeros(n, bool)
+    is_word[word_at] = True
+    # text by the nearest candidate tag before it, and all text but blocks of candidates, by kind
+    chars, text = np.zeros((n, 3), np.int64), np.zeros((len(names), 3), np.int64)
+    fixed = np.zeros(len(t.words), bool)
+    fixed[word] = True
+    near = np.searchsorted(tag, t.after, "right") - 1
+    there = np.flatnonzero((near >= 0) & ~t.lone)
+    there = there[t.tag_page[tag[near[there]]] == t.block_page[there]] if len(tag) else there[:0]
+    np.add.at(chars, (tag_at[near[there]], t.kind[there]), t.chars[there])
+    free = np.flatnonzero(~_ends(fixed, t.size) & (code[t.block_page] >= 0))
+    np.add.at(text, (code[t.block_page[free]], t.kind[free]), t.chars[free])
+    whole = np.bincount(code[code >= 0], minlength=len(names))
+    k = len(names)
+    ahead = lambda x, y: pa.concat_arrays([pa.array(x, y.type), y])
+    none = [0] * k
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(names).take(pa.array(np.concatenate([np.arange(k), owner]))), ahead([None] * k, _signed(token)), ahead([None] * k, pa.array(is_word)), ahead([None] * k, _signed(vector)),
+            ahead(whole, pa.array(np.bincount(at[first], minlength=n))), ahead(none, pa.array(np.bincount(at, minlength=n))), ahead([0.0] * k, pa.array(np.bincount(at[first], share, n))),
+            *(ahead(none, _signed(m)) for m in masks), *(ahead(text[:, i], pa.array(chars[:, i])) for i in range(3)),
+        ], [c.split()[0] for c in STATISTICS.split(", ")],
+    )
+
+
 STATISTICS = "level string, token long, word boolean, vector long, pages long, total long, place double, one long, two long, main long, plain long, other long"
 
 
@@ -459,36 +505,28 @@ def statistics(rows: DataFrame) -> DataFrame:
     """STATISTICS of (host, section, html, host_tokens, section_tokens): the candidates' occurrence vectors and slots; the row without a token is the level's own."""
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, _Sums] = {}
-        host, section, html = (batch.column(i).to_pylist() for i in range(3))
-        own, inner = _lists(batch.column(3)), _lists(batch.column(4))
-        for h, s, text, a, b in zip(host, section, html, own, inner, strict=True):
-            if a is None and b is None:
-                continue
-            page = parse(text)
-            t, key = tokens_of(page), content_key(page)
-            for name, tokens in ((h, a), (s, b)):
-                if tokens is not None:
-                    if name not in sums:
-                        sums[name] = _Sums(np.sort(tokens.view(np.uint64)))
-                    sums[name].add(page, t, key)
-        for name, s in sums.items():
-            n = len(s.tokens)
-            first = lambda x, y: pa.concat_arrays([pa.array([x], y.type), y])
-            zero = pa.array(np.zeros(n, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * (n + 1)), first(None, _signed(s.tokens)), first(None, pa.array(s.word)), first(None, _signed(s.vector)), first(s.whole, pa.array(s.pages)), first(0, pa.array(s.total)),
-                    first(0.0, pa.array(s.place)), first(0, _signed(s.one)), first(0, _signed(s.two)), *(pa.concat_arrays([pa.array([int(s.all[i])]), pa.array(s.chars[:, i]) if n else zero]) for i in range(3)),
-                ], [c.split()[0] for c in STATISTICS.split(", ")],
-            )
+        asked = [_lists(batch.column(3)), _lists(batch.column(4))]
+        rows = [i for i, (a, b) in enumerate(zip(*asked, strict=True)) if a is not None or b is not None]
+        if not rows:
+            return
+        html = batch.column(2).to_pylist()
+        pages = [parse(html[i]) for i in rows]
+        t = Tokens(pages)
+        weight = np.array([content_key(p) for p in pages], np.uint64)
+        one, two = (np.array(m, np.uint64) for m in zip(*(_masks(int(w)) for w in weight), strict=True))
+        for column, lists in enumerate(asked):
+            name = batch.column(column).to_pylist()
+            names: dict[str, tuple[int, np.ndarray]] = {}
+            code = np.array([names.setdefault(name[i], (len(names), lists[i].view(np.uint64)))[0] if lists[i] is not None else -1 for i in rows], np.int64)
+            if names:
+                yield _added(t, code, list(names), [x for _, x in names.values()], weight, one, two)
 
     found = map_batches(rows.select("host", "section", "html", "host_tokens", "section_tokens"), count, STATISTICS)
     # vectors are sums modulo 2**64: halves are added apart, so that nothing overflows
     low, high = F.col("vector").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("vector", 32)
     sums = [F.sum(c).alias(c) for c in ("pages", "total", "place", "main", "plain", "other")]
     added = found.groupBy("level", "token").agg(F.max("word").alias("word"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two"), *sums)
-    return added.selectExpr("*", "low & 4294967295L as low32", "(high + shiftright(low, 32)) & 4294967295L as high32").drop("low", "high")
+    return stored(added.selectExpr("*", "low & 4294967295L as low32", "(high + shiftright(low, 32)) & 4294967295L as high32").drop("low", "high"), "vectors")
 
 
 TEMPLATE = "struct<has_main boolean, classes array<struct<whole boolean, tokens array<struct<place double, token long, word boolean, once boolean, content boolean>>>>>"
@@ -523,18 +561,21 @@ class Template:
         self.token = token[by]
         self.cls = np.array([c for c, _ in rows])[by]
         self.rank = np.arange(len(rows))[by]  # the template's order within a class
-        self.word = np.array([t["word"] for _, t in rows], bool)[by]
         self.once = np.array([t["once"] for _, t in rows], bool)[by]
         self.whole = np.array([c["whole"] for c in row["classes"]], bool)
         self.content = {int(t["token"]) & ALL: t["content"] for _, t in rows if not t["word"]}
+        self.words = {int(t["token"]) & ALL for _, t in rows if t["word"]}
+
+    def has_edges(self, block: Block) -> bool:
+        """Whether the words at a block's ends are in the template: no other block can be fixed."""
+        return all(x in self.words for x in edge_tokens(block))
 
     def fixed(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Of each word of a page, whether it is in a valid class, and whether that is on all pages."""
-        out, whole = np.zeros(len(t.all) - t.n_tags, bool), np.zeros(len(t.all) - t.n_tags, bool)
-        at = np.minimum(np.searchsorted(self.token, t.all), len(self.token) - 1)
-        known = np.flatnonzero(self.token[at] == t.all)
-        if not self.word[at[known]].any():
-            return out, whole
+        out, whole = np.zeros(len(t.words), bool), np.zeros(len(t.words), bool)
+        token, place = np.concatenate([t.tags, t.words]), np.concatenate([t.tag_place, t.word_place])
+        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+        known = np.flatnonzero(self.token[at] == token)
         cls = self.cls[at[known]]
         spans: list[tuple[int, int]] = []
         by = np.argsort(cls, kind="stable")
@@ -542,19 +583,17 @@ class Template:
         groups = [known[by[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         # classes with many tokens first: they are the frame that others must nest in
         for group in sorted(groups, key=lambda g: -len(g)):
-            i = at[group]
-            once = self.once[i]
+            once = self.once[at[group]]
             if once.any():
-                rank = self.rank[i[once]][np.argsort(t.place[group[once]], kind="stable")]
-                in_order = group[once][np.argsort(t.place[group[once]], kind="stable")][_increasing(rank)]
-                group = np.concatenate([in_order, group[~once]])
+                single = group[once][np.argsort(place[group[once]], kind="stable")]
+                group = np.concatenate([single[_increasing(self.rank[at[single]])], group[~once]])
             if len(np.unique(at[group])) < 2:
                 continue
-            a, b = int(t.place[group].min()), int(t.place[group].max())
+            a, b = int(place[group].min()), int(place[group].max())
             if any(c < a <= d < b or a < c <= b < d for c, d in spans):
                 continue  # it crosses another class
             spans.append((a, b))
-            words = group[group >= t.n_tags] - t.n_tags
+            words = group[group >= len(t.tags)] - len(t.tags)
             out[words] = True
             whole[words] = self.whole[self.cls[at[group[0]]]]
         return out, whole
@@ -599,20 +638,18 @@ def main_text(page: Page, found: list[Template] | None) -> str:
     label: dict[int, bool | None] = {}
     for template in found:
         label |= template.content
-    t = tokens_of(page)
     for i, b in enumerate(page.blocks):
         content = label.get(page.tags[b.after]) if b.after >= 0 else None
         if content is not None:
             named[i] = content
-    fixed, whole = np.zeros(len(t.all) - t.n_tags, bool), np.zeros(len(t.all) - t.n_tags, bool)
-    for template in found:
-        one, two = template.fixed(t)
-        fixed |= one
-        whole |= two
-    start = np.cumsum(t.words) - t.words
-    gone, sure = np.logical_and.reduceat(fixed, start), np.logical_and.reduceat(whole, start)
-    size = np.array([len(b.text) * ok for b, ok in zip(page.blocks, named, strict=True)])
-    if 2 * size[gone].sum() > size.sum():
+    asked = [x for x in found if x.words and any(ok and x.has_edges(b) for b, ok in zip(page.blocks, named, strict=True))]
+    if not asked:
+        return "\n".join(b.text for b, ok in zip(page.blocks, named, strict=True) if ok)
+    t = Tokens([page])
+    marks = [x.fixed(t) for x in asked]
+    gone, sure = (_ends(np.logical_or.reduce([m[i] for m in marks]), t.size) for i in (0, 1))
+    chars = t.chars * np.array(named)
+    if 2 * chars[gone].sum() > chars.sum():
         gone &= sure  # most of a page's text is no template of some pages, but what near copies of one page share
     return "\n".join(b.text for b, ok, cut in zip(page.blocks, named, gone.tolist(), strict=True) if ok and not cut)
 
@@ -621,10 +658,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_column(url_col).alias("host"), section_column(url_col).alias("section"))
-    asked = stored(candidates(rows), "candidates")
+    asked = candidates(rows)
     size = asked.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"]
-    shapes = stored(templates(statistics(joined(rows, asked, size, "tokens"))), "templates")
+    vectors = statistics(joined(rows, asked, size, "tokens"))
+    shapes = stored(templates(vectors), "templates")
     drop_stored(asked)
+    drop_stored(vectors)
     size = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -127,10 +127,10 @@ def vectors(pages):
     found, weights = {}, {}
     parsed = {H.content_key(p): p for p in map(H.parse, pages)}
     for n, page in enumerate(parsed.values()):
-        t = H.tokens_of(page)
-        for i, token in enumerate(t.all.tolist()):
+        t = H.Tokens([page])
+        for i, token in enumerate([*t.tags.tolist(), *t.words.tolist()]):
             found.setdefault(token, [0] * len(parsed))[n] += 1
-            weights[token] = i >= t.n_tags
+            weights[token] = i >= len(t.tags)
     return found, weights, len(parsed)
 
 
