@@ -15,9 +15,9 @@ too few pages is a template of its own. Where templates are withheld no slot is
 
 Three scans, each of them only parses:
 
-1. Candidates. A slice of the table sends a token of a host if it is on half of the slice's pages of this host. A token on half of all
-   pages is sent by some slice, and the pages that others may have beside are bounded, so nothing is lost, and what is left for a host is
-   at most about twice the tokens of a page.
+1. Candidates. A slice of the table sends a token of a host if it is on half (words: TEXT_SHARE) of the slice's pages of this host. A
+   token on that share of all pages is sent by some slice, and the pages that others may have beside are bounded, so nothing is lost,
+   and what is left for a host is at most about twice the tokens of a page.
 2. Vectors. A vector is named by the sum of count * hash(page) over the pages (two 32-bit halves), the pages and the occurrences with it;
    sums are made map-side, so a host's size is no matter. Equal pages have equal hashes: they change no class, and different pages are
    counted by 64-bit masks. The slots' text is counted too.
@@ -40,6 +40,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,17 +261,6 @@ def _resolve(blocks: list[Block], scopes: list[list]) -> None:
         block.kind = kinds[block.scope]
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
-
-
 K1, K2, K3, K4 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0xD1342543DE82EF95))
 
 
@@ -303,10 +293,11 @@ class Tokens:
         self.after = np.array([b.after for b in blocks], np.int64) + before[self.block_page]  # the tag before each block; before the page's first if there is none
         self.kind, self.chars = np.array([b.kind for b in blocks], np.int64), np.array([len(b.text) for b in blocks], np.int64)
         self.lone = np.array([b.after < 0 for b in blocks], bool)
-        split = [b.text.split(" ") for b in blocks]
-        self.size = np.array([len(w) for w in split], np.int64)
-        known = _WORDS
-        self.words = self._named(np.array([known[x] for w in split for x in w], np.uint64), np.array([b.path for b in blocks], np.uint64))
+        split = pc.split_pattern(pa.array([b.text for b in blocks], pa.string()), " ")
+        self.size = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        known = np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)
+        self.words = self._named(known[coded.indices.to_numpy()] if len(known) else known, np.array([b.path for b in blocks], np.uint64))
         self.word_page = np.repeat(self.block_page, self.size)
         # places in the order of all tags and words
         words = np.cumsum(self.size) - self.size
@@ -333,15 +324,18 @@ class Tokens:
         return token ^ nth * K4
 
 
+_word = xxhash.xxh64_intdigest
+
+
 def edge_tokens(block: Block) -> tuple[int, int]:
     """The tokens of a block's first and last word, as they are where they first occur on a page."""
     first, _, rest = block.text.partition(" ")
     if not rest:
-        one = ((_WORDS[first] ^ block.path) * int(K1) & ALL) ^ int(K3)
+        one = ((_word(first) ^ block.path) * int(K1) & ALL) ^ int(K3)
         return one, one
     rest = rest.rsplit(" ", 2)
     before = rest[-2] if len(rest) > 1 else first
-    return (_WORDS[first] ^ block.path) * int(K1) & ALL, ((_WORDS[rest[-1]] ^ block.path ^ _WORDS[before] * int(K2) & ALL) * int(K1) & ALL) ^ int(K3)
+    return (_word(first) ^ block.path) * int(K1) & ALL, ((_word(rest[-1]) ^ block.path ^ _word(before) * int(K2) & ALL) * int(K1) & ALL) ^ int(K3)
 
 
 def content_key(page: Page) -> int:
@@ -373,9 +367,9 @@ def _signed(x) -> pa.Array:
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """(level, tokens array<long>): what may be on half of the pages of each host or section with MIN_PAGES different pages.
+    """(level, tokens array<long>): tags that may be on half, and words that may be on TEXT_SHARE, of the pages of each host or section with MIN_PAGES different pages.
 
-    gain is a token's pages less those that a slice which does not send it may have; room is the sum of the latter.
+    gain is a token's pages less those that a slice which does not send it may have; room and word_room are the sums of the latter.
     """
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -404,20 +398,25 @@ def candidates(pages: DataFrame) -> DataFrame:
             new = _runs(mixed[by])
             on, some = np.diff(np.append(new, len(mine))), mine[by[new]]
             at = code[page[some]]
-            sent = 2 * on >= own[at]
-            some, at, gain = token[some[sent]], at[sent], on[sent] - (own[at[sent]] - 1) // 2
+            is_word = some >= len(once)
+            least = np.stack([(own + 1) // 2, np.ceil(TEXT_SHARE * own).astype(np.int64)])  # pages that make a share, of tags and of words
+            need = least[is_word.astype(int), at]
+            sent = on >= need
+            some, at, is_word, gain = token[some[sent]], at[sent], is_word[sent], on[sent] - need[sent] + 1
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(names)).take(pa.array(np.concatenate([np.arange(n), at]))), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(some)]), pa.array(np.concatenate([(own - 1) // 2, gain])),
-                    pa.concat_arrays([pa.array(own), none]), *(pa.concat_arrays([_signed(m), none]) for m in masks),
-                ], ["level", "token", "gain", "pages", "one", "two"],
+                    pa.array(list(names)).take(pa.array(np.concatenate([np.arange(n), at]))), pa.concat_arrays([pa.nulls(n, pa.int64()), _signed(some)]), pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(is_word)]),
+                    pa.array(np.concatenate([least[0] - 1, gain])), *(pa.concat_arrays([x, none]) for x in (pa.array(least[1] - 1), pa.array(own), _signed(masks[0]), _signed(masks[1]))),
+                ], ["level", "token", "word", "gain", "word_room", "pages", "one", "two"],
             )
 
-    found = map_batches(pages.select("host", "section", "html"), count, "level string, token long, gain long, pages long, one long, two long")
-    summed = stored(found.groupBy("level", "token").agg(F.sum("gain").alias("gain"), F.sum("pages").alias("pages"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two")), "local-shares")
-    levels = summed.filter(F.col("token").isNull() & (_different() >= MIN_PAGES)).select("level", "pages", F.col("gain").alias("room"))
-    kept = summed.filter(F.col("token").isNotNull()).select("level", "token", "gain").join(levels, "level").filter("2 * (gain + room) >= pages")
+    found = map_batches(pages.select("host", "section", "html"), count, "level string, token long, word boolean, gain long, word_room long, pages long, one long, two long")
+    sums = [F.sum(c).alias(c) for c in ("gain", "word_room", "pages")]
+    summed = stored(found.groupBy("level", "token").agg(F.max("word").alias("word"), F.bit_or("one").alias("one"), F.bit_or("two").alias("two"), *sums), "local-shares")
+    levels = summed.filter(F.col("token").isNull() & (_different() >= MIN_PAGES)).select("level", "pages", F.col("gain").alias("room"), "word_room")
+    enough = F.when(F.col("word"), F.col("gain") + F.col("word_room") >= TEXT_SHARE * F.col("pages")).otherwise(2 * (F.col("gain") + F.col("room")) >= F.col("pages"))
+    kept = summed.filter(F.col("token").isNotNull()).select("level", "token", "word", "gain").join(levels, "level").filter(enough)
     out = stored(kept.groupBy("level").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "candidates")
     drop_stored(summed)
     return out
