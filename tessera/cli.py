@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import shutil
 import sys
 from collections.abc import Iterator
-from pathlib import Path
 
 from tessera.engine import Engine
-from tessera.functions import sinks, terms
-from tessera.operators import lookups
-from tessera.operators.store import Store
+from tessera.functions import sinks
+from tessera.operators import build, lookups, publish
+from tessera.operators.store import Store, find_tables, parse_ids
 from tessera.schema import TesseraError
-from tessera.sources import linked
 
 LOOKUPS = ("classes", "datatypes", "instances", "properties", "shapes", "snapshots")
 
@@ -39,7 +36,13 @@ def parser() -> argparse.ArgumentParser:
     verb("diff", "snapshot")
     verb("export", "out")
     verb("geometries", bbox={"default": None}, limit={"type": int, "default": 1000}, offset={"type": int, "default": 0})
-    verb("clean", ids={"type": int, "nargs": "+", "required": True}, squash={"action": "store_true"})
+    verb("clean", ids={"nargs": "+", "required": True}, squash={"action": "store_true"})
+    verb("translate", "text")
+    verb("samples")
+    verb("modules")
+    verb("stale", "tag")
+    verb("copy", "target")
+    verb("tables")
     verb("wipe", yes={"action": "store_true"})
     verb("serve", port={"type": int, "default": 8080})
     return p
@@ -61,19 +64,32 @@ def answer(spark, argv: list[str]) -> str | Iterator[str]:
     a = parser().parse_args(argv)
     store = Store(spark, a.table)
     if a.verb == "build":
-        entry = store.write(terms.split_terms(linked.read_rdf(spark, a.source, a.base)).dropDuplicates(["triple_hash", "object_iri"]), None, a.tag)
+        entry = build.build(spark, a.source, a.table, a.base, a.tag)
         return f"snapshot {entry['snapshot_id']}: {entry['added']} added, {entry['deleted']} deleted"
     if a.verb == "wipe":
         if not a.yes:
             raise TesseraError("wipe removes the whole table: say --yes")
-        if not Path(a.table, "_log").is_dir():
-            raise TesseraError(f"{a.table} is no local table")
-        shutil.rmtree(a.table)
+        if not store.log():
+            raise TesseraError(f"{a.table} is no table")
+        store.wipe()
         return "gone"
     if a.verb == "clean":
-        done = store.squash(a.ids) if a.squash else store.delete_snapshots(a.ids)
+        ids = parse_ids(a.ids)
+        done = store.squash(ids) if a.squash else store.delete_snapshots(ids)
         return f"snapshot {done['snapshot_id']}" if done else "deleted"
+    if a.verb == "tables":
+        return "\n".join(find_tables(spark, a.table))
+    if a.verb == "copy":
+        return f"{publish.copy_table(spark, a.table, a.target)} files copied"
+    if a.verb == "stale":
+        return "stale" if store.is_stale(a.tag) else "up to date"
+    if a.verb == "modules":
+        return "\n".join(store.modules())
     engine = Engine(spark, a.table)
+    if a.verb == "translate":
+        return engine.translated(a.text)
+    if a.verb == "samples":
+        return "\n".join(f"{name}: {text}" for name, text in engine.sample_queries().items())
     if a.verb == "query":
         df = engine.sql(a.text) if a.sql else engine.sparql(a.text, a.limit)
         return sinks.csv_lines(df) if a.csv else lines(df)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera import schema as S
-from tessera.functions import geo, sinks
+from tessera.functions import geo, sinks, terms
 from tessera.operators import lookups
 from tessera.operators.store import Store
-from tessera.plans import sparql
+from tessera.plans import samples, sparql
 
 
 class Engine:
@@ -18,7 +19,9 @@ class Engine:
         self.spark, self.store = spark, Store(spark, path) if path else None
         self._triples = triples
         self.warnings: list[str] = []
+        self._unreadable: set[str] = set()
         geo.register(spark)
+        spark.sql(terms.DOUBLE_TEXT)
         self.refresh()
 
     def refresh(self) -> None:
@@ -38,15 +41,46 @@ class Engine:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text)
 
+    def translated(self, text: str, limit: int = 0) -> str:
+        """The SQL that a query stands for."""
+        return sparql.to_sql(text, limit)
+
+    def explained(self, text: str) -> str:
+        """The physical plan of a query."""
+        return self.sparql(text)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    def register_snapshots(self) -> list[str]:
+        """Views triples_at_<id> of all snapshots, for queries on the table as it was."""
+        names = [f"triples_at_{e['snapshot_id']}" for e in self.store.live()]
+        for name in names:
+            self.store.as_of(int(name.rsplit("_", 1)[1])).createOrReplaceTempView(name)
+        return names
+
+    def sample_queries(self) -> dict[str, str]:
+        """Starter queries by name: SPARQL, SQL, and SQL on each snapshot."""
+        more = dict(self.store.sample_queries()) if self.store is not None else {}
+        return {**{n: samples.starter(n) for n in samples.STARTERS}, **{f"SQL: {n}": q for n, q in samples.SQL_STARTERS.items()}, **more}
+
+    def modules(self) -> list[str]:
+        return self.store.modules()
+
+    def ontologies(self, pins: DataFrame) -> DataFrame:
+        """Pinned documents (ontology, version, format) and the ontologies that the triples import."""
+        imported = self._triples.filter((F.col("predicate") == S.OWL + "imports") & F.col("object_iri").isNotNull()).select(F.col("object_iri").alias("ontology"))
+        return lookups.ontologies(pins, imported)
+
     def register_imports(self, paths: list[tuple[str, str]]) -> list[str]:
         """Views over imported tables (artifact, path); one that cannot be read is left out with a warning."""
         names, frames = lookups.view_names(paths), {}
         for name, (_, path) in zip(names, paths, strict=True):
+            if path in self._unreadable:
+                continue  # it was tried, and warned about
             try:
                 df = self.spark.read.parquet(path)
                 df.createOrReplaceTempView(name)
                 frames[name] = df
             except Exception as e:  # noqa: BLE001 any reader's error: the main query must go on
+                self._unreadable.add(path)
                 self.warnings.append(f"import {name} is left out: {str(e).splitlines()[0]}")
         if frames:
             lookups.stacked_imports(frames).createOrReplaceTempView("imports")

@@ -451,11 +451,42 @@ def _column(fn, kind: str):
 def _pair(fn, kind: str):
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(from_wkb(x), from_wkb(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+        read = _reader()
+        return pd.Series([None if x is None or y is None else fn(read(x), read(y)) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return run
 
 
+def _reader():
+    """from_wkb that reads a geometry once which comes again and again, as a constant does."""
+    known: dict[bytes, tuple] = {}
+
+    def read(wkb: bytes):
+        found = known.get(wkb)
+        if found is None:
+            if len(known) >= 256:
+                known.clear()
+            found = known[wkb] = from_wkb(wkb)
+        return found
+
+    return read
+
+
+WKT_LOOK = r"(?i)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON)\s*(\(|EMPTY)"
+
+
+def text_to_geojson(c: Column) -> Column:
+    """GeoJSON of a WKT text, null if it is none."""
+
+    def convert(v: str) -> str | None:
+        try:
+            return json.dumps(to_geojson(parse_wkt(strip_crs(v))), separators=(",", ":"))
+        except TesseraError:
+            return None
+
+    return _column(convert, "string")(c)
+
+
 def st_geomfromtext(c: Column) -> Column:
     return _column(lambda v: to_wkb(parse_wkt(v)), "binary")(c)
 
@@ -470,12 +501,31 @@ def st_asgeojson(c: Column) -> Column:
     return _column(lambda v: json.dumps(to_geojson(from_wkb(v)), separators=(",", ":")), "string")(c)
 
 
-def st_point(x: Column, y: Column) -> Column:
+def _point():
     @F.pandas_udf("binary")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(p) or pd.isna(q) else struct.pack("<BIdd", 1, 1, p, q) for p, q in zip(a, b, strict=True)], dtype=object)
 
-    return run(x.cast("double"), y.cast("double"))
+    return run
+
+
+def _envelope_of():
+    box_of = lambda x0, y0, x1, y1: to_wkb(("POLYGON", [[(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]]))
+
+    @F.pandas_udf("binary")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([None if any(map(pd.isna, v)) else box_of(*map(float, v)) for v in zip(a, b, c, d, strict=True)], dtype=object)
+
+    return run
+
+
+def st_point(x: Column, y: Column) -> Column:
+    return _point()(x.cast("double"), y.cast("double"))
+
+
+def st_makeenvelope(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The polygon of a box."""
+    return _envelope_of()(*(c.cast("double") for c in (x0, y0, x1, y1)))
 
 
 def st_geometrytype(c: Column) -> Column:
@@ -501,18 +551,18 @@ def planar_distance(a: Column, b: Column) -> Column:
     return _pair(distance, "double")(a, b)
 
 
-def sphere_distance(a: Column, b: Column) -> Column:
-    """Haversine metres between two points; anything else raises."""
+def _metres(p, q) -> float:
+    if p[0] != "POINT" or q[0] != "POINT":
+        raise InvalidGeometry("distance in metres is defined for points only")
+    (x0, y0), (x1, y1) = p[1], q[1]
+    u, v = math.radians(y0), math.radians(y1)
+    h = math.sin((v - u) / 2) ** 2 + math.cos(u) * math.cos(v) * math.sin(math.radians(x1 - x0) / 2) ** 2
+    return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
 
-    def metres(p, q):
-        if p[0] != "POINT" or q[0] != "POINT":
-            raise InvalidGeometry("distance in metres is defined for points only")
-        (x0, y0), (x1, y1) = p[1], q[1]
-        u, v = math.radians(y0), math.radians(y1)
-        h = math.sin((v - u) / 2) ** 2 + math.cos(u) * math.cos(v) * math.sin(math.radians(x1 - x0) / 2) ** 2
-        return 2 * EARTH_RADIUS * math.asin(math.sqrt(h))
 
-    return _pair(metres, "double")(a, b)
+def sphere_distance(a: Column, b: Column) -> Column:
+    """Haversine metres between two points; anything else raises."""
+    return _pair(_metres, "double")(a, b)
 
 
 CONSTRUCTORS = {"envelope": envelope, "boundary": boundary, "convexHull": convex_hull}
@@ -546,6 +596,11 @@ def register(spark: SparkSession) -> None:
     for name, fn in RELATIONS.items():
         spark.udf.register(f"st_{name[2:].lower()}", _pair(fn, "boolean"))
     spark.udf.register("st_distance", _pair(distance, "double"))
+    spark.udf.register("st_distance_sphere", _pair(_metres, "double"))
+    spark.udf.register("st_point", _point())
+    spark.udf.register("st_makeenvelope", _envelope_of())
+    for i, name in enumerate(("st_xmin", "st_ymin", "st_xmax", "st_ymax")):
+        spark.udf.register(name, _column(lambda v, i=i: (box(from_wkb(v)) or (None,) * 4)[i], "double"))
     for name in SET_OPERATIONS:
         spark.udf.register(f"st_{name.lower()}", _combined(name))
 
@@ -564,22 +619,40 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return x0, y0, x1, y1
 
 
-def spatial_join(left: DataFrame, right: DataFrame, l_geo: str, r_geo: str, name: str, cell: float = 1.0) -> DataFrame:
-    """Pairs of rows in a relation that implies meeting boxes: equi-join on grid cells, box test, then the exact relation.
+LEVELS = 24  # of cells, each twice as wide as those of the level before
 
-    A pair is taken in the one cell that holds the lower corner of its boxes'
-    overlap, so no pair comes twice and none has to be made distinct.
+
+def spatial_join(left: DataFrame, right: DataFrame, l_geo: str, r_geo: str, name: str, margin: float = 0.0, exact=None) -> DataFrame:
+    """Pairs of rows in a relation that implies boxes which meet within a margin: equi-join on grid cells, box test, then the exact relation (or the given one).
+
+    Cells suit the data: the finest are such that few boxes share one if they are spread evenly, and a box lives at the level where it
+    covers four cells at most. It meets the other side's boxes of its own level and coarser ones, so a box as large as the world is four
+    rows, not one for each fine cell. A pair is taken in the one cell of the coarser of its levels that holds the lower corner of its
+    boxes' overlap, so no pair comes twice and none has to be made distinct. Crowded cells are left to Spark's splitting of skewed joins.
     """
     if name == "sfDisjoint":
         raise TesseraError("disjoint pairs have no common grid cell")
-
-    def cells(df: DataFrame, geo: str, p: str) -> DataFrame:
-        b = df.withColumn(p, bounds(F.col(geo))).filter(F.col(f"{p}.xmin").isNotNull())
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}.{lo}") / cell), F.floor(F.col(f"{p}.{hi}") / cell))
-        return b.withColumn(f"{p}_x", F.explode(span("xmin", "xmax"))).withColumn(f"{p}_y", F.explode(span("ymin", "ymax")))
-
-    a, b = cells(left, l_geo, "_l"), cells(right, r_geo, "_r")
-    at = lambda k: F.floor(F.greatest(F.col(f"_l.{k}"), F.col(f"_r.{k}")) / cell)
+    boxed = lambda df, c, p: df.withColumn(p, bounds(F.col(c))).filter(F.col(f"{p}.xmin").isNotNull())
+    a, b = boxed(left, l_geo, "_l"), boxed(right, r_geo, "_r")
+    if margin:
+        a = a.withColumn("_l", F.struct((F.col("_l.xmin") - margin).alias("xmin"), (F.col("_l.ymin") - margin).alias("ymin"), (F.col("_l.xmax") + margin).alias("xmax"), (F.col("_l.ymax") + margin).alias("ymax")))
+    sides = a.select(F.col("_l").alias("b")).union(b.select(F.col("_r").alias("b")))
+    n, x0, y0, width = sides.agg(F.count("*"), F.min("b.xmin"), F.min("b.ymin"), F.greatest(F.max("b.xmax") - F.min("b.xmin"), F.max("b.ymax") - F.min("b.ymin"))).first()
+    depth = min(LEVELS, max(0, math.ceil(math.log2(max(1, n)) / 2)))
+    cell = (width or 1.0) / 2**depth
+
+    def cells(df: DataFrame, p: str) -> DataFrame:
+        size = F.greatest(F.col(f"{p}.xmax") - F.col(f"{p}.xmin"), F.col(f"{p}.ymax") - F.col(f"{p}.ymin"))
+        level = F.least(F.lit(depth), F.when(size <= cell, 0).otherwise(F.ceil(F.log2(size / cell)))).cast("int")
+        at = lambda edge, low: F.floor((F.col(f"{p}.{edge}") - F.lit(float(low))) / (F.lit(cell) * F.pow(F.lit(2.0), F.col(f"{p}_at"))))
+        df = df.withColumn(f"{p}_own", level).withColumn(f"{p}_at", F.explode(F.sequence(F.col(f"{p}_own"), F.lit(depth))))
+        df = df.withColumn(f"{p}_x", F.explode(F.sequence(at("xmin", x0 or 0), at("xmax", x0 or 0))))
+        return df.withColumn(f"{p}_y", F.explode(F.sequence(at("ymin", y0 or 0), at("ymax", y0 or 0))))
+
+    a, b = cells(a, "_l"), cells(b, "_r")
+    corner = lambda k, low: F.floor((F.greatest(F.col(f"_l.{k}"), F.col(f"_r.{k}")) - F.lit(float(low or 0))) / (F.lit(cell) * F.pow(F.lit(2.0), F.col("_l_at"))))
     meet = (F.col("_l.xmin") <= F.col("_r.xmax")) & (F.col("_r.xmin") <= F.col("_l.xmax")) & (F.col("_l.ymin") <= F.col("_r.ymax")) & (F.col("_r.ymin") <= F.col("_l.ymax"))
-    pairs = a.join(b, (F.col("_l_x") == F.col("_r_x")) & (F.col("_l_y") == F.col("_r_y")) & meet).filter((F.col("_l_x") == at("xmin")) & (F.col("_l_y") == at("ymin")))
-    return pairs.drop("_l", "_r", "_l_x", "_l_y", "_r_x", "_r_y").filter(relation(name, F.col(l_geo), F.col(r_geo)))
+    same = (F.col("_l_at") == F.col("_r_at")) & (F.col("_l_x") == F.col("_r_x")) & (F.col("_l_y") == F.col("_r_y"))
+    pairs = a.join(b, same & meet).filter(F.col("_l_at") == F.greatest("_l_own", "_r_own")).filter((F.col("_l_x") == corner("xmin", x0)) & (F.col("_l_y") == corner("ymin", y0)))
+    pairs = pairs.drop(*(f"{p}{k}" for p in ("_l", "_r") for k in ("", "_own", "_at", "_x", "_y")))
+    return pairs.filter(exact if exact is not None else relation(name, F.col(l_geo), F.col(r_geo)))

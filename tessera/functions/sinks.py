@@ -11,7 +11,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import terms
+from tessera.functions import geo, terms
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
@@ -19,6 +19,11 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(terms.ntriples_line().alias("value")).write.text(path)
 
 
+def write_nquads(triples: DataFrame, path: str, graph: str | None = None) -> None:
+    """One statement a line, in the named graph if there is one; written by all tasks."""
+    triples.select(terms.nquads_line(graph).alias("value")).write.text(path)
+
+
 def sparql_json(df: DataFrame) -> DataFrame:
     """(binding): each row as a SPARQL JSON binding; nulls are unbound."""
     cells = [terms.sparql_json_term(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns]
@@ -37,6 +42,21 @@ def feature_collection(page: DataFrame) -> str:
     return json.dumps({"type": "FeatureCollection", "features": features})
 
 
+def map_features(df: DataFrame) -> DataFrame:
+    """(feature): a GeoJSON feature for each cell of a result that is a WKT or GeoJSON geometry; the row's other cells are its properties."""
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    geometry = lambda c: F.when(c.rlike(geo.WKT_LOOK), geo.text_to_geojson(c)).when(c.rlike(r'^\s*\{.*"type"\s*:\s*"(Point|LineString|Polygon|MultiPoint|MultiLineString|MultiPolygon)"'), c)
+    others = lambda mine: F.to_json(F.struct(*[text[c].alias(c) for c in df.columns if c != mine])) if len(df.columns) > 1 else F.lit("{}")
+    cells = F.array(*[F.struct(geometry(text[c]).alias("g"), others(c).alias("p")) for c in df.columns])
+    return df.select(F.explode(cells).alias("f")).filter("f.g is not null").select(F.concat(F.lit('{"type":"Feature","geometry":'), F.col("f.g"), F.lit(',"properties":'), F.col("f.p"), F.lit("}")).alias("feature"))
+
+
+def shortened(df: DataFrame, width: int = 80) -> DataFrame:
+    """Cells as text for a narrow screen: white space in one line, and an ellipsis where a cell is cut."""
+    line = lambda c: F.regexp_replace(F.col(f"`{c}`"), r"\s+", " ")
+    return terms.render_text(df).select([F.when(F.length(line(c)) > width, F.concat(F.substring(line(c), 1, width - 1), F.lit("…"))).otherwise(line(c)).alias(c) for c in df.columns])
+
+
 def extent_feature(extent: DataFrame) -> str:
     r = extent.first()
     if not r["count"]:
@@ -75,9 +95,7 @@ def to_csv(df: DataFrame) -> str:
 def sql_response(df: DataFrame, cap: int = 1000) -> dict:
     """Rows of a query up to the cap, with a message that gives the true count."""
     rows = [list(r) for r in terms.render_text(df).limit(cap + 1).collect()]
-    message = ""
-    if len(rows) > cap:
-        message = f"showing {cap} of {df.count()} rows"
+    message = f"showing {cap} of {df.count()} rows" if len(rows) > cap else ""
     return {"columns": df.columns, "rows": rows[:cap], "message": message}
 
 
@@ -88,6 +106,15 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`") for i, c in enumerate(df.columns) if used[i]])
 
 
+def triple_columns(columns: list[str]) -> tuple[str, str, str] | None:
+    """Which columns of a result are subject, predicate and object: by their usual names, else the first three; None if there are fewer."""
+    low = {c.lower(): c for c in reversed(columns)}
+    pick = [next((low[n] for n in names if n in low), None) for names in (("subject", "s"), ("predicate", "p"), ("object", "o"))]
+    if all(pick):
+        return tuple(pick)
+    return tuple(columns[:3]) if len(columns) >= 3 else None
+
+
 def graph_view(triples: DataFrame, cap: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a result of triples for a picture; cap is the report's size."""
     rows = triples.select("subject", "predicate", terms.object_text().alias("object")).filter("object is not null").limit(cap)

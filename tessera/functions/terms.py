@@ -49,6 +49,18 @@ def render_double(c: Column) -> Column:
     )
 
 
+#: render_double as the text of a SQL function, for queries that are shown to a user.
+DOUBLE_TEXT = r"""
+CREATE OR REPLACE TEMPORARY FUNCTION double_text(x DOUBLE) RETURNS STRING RETURN
+CASE WHEN x IS NULL THEN NULL WHEN isnan(x) THEN 'nan' WHEN x = double('inf') THEN 'inf' WHEN x = double('-inf') THEN '-inf'
+WHEN x = 0 OR abs(x) >= 1e-3 AND abs(x) < 1e7 THEN string(x)
+WHEN abs(x) >= 1e7 AND abs(x) < 1e16 THEN regexp_replace(string(try_cast(string(x) AS decimal(38,18))), '([.][0-9]*?[1-9]|[.]0)0+$', '$1')
+WHEN abs(x) >= 1e-4 AND abs(x) < 1e-3 THEN regexp_replace(string(try_cast(string(x) AS decimal(38,26))), '([.][0-9]*?[1-9]|[.]0)0+$', '$1')
+ELSE regexp_replace(regexp_extract(string(x), '^(-?[0-9.]+)E', 1), '[.]0$', '') || 'e' || if(startswith(regexp_extract(string(x), 'E(-?[0-9]+)$', 1), '-'), '-', '+')
+  || lpad(replace(regexp_extract(string(x), 'E(-?[0-9]+)$', 1), '-', ''), greatest(2, length(replace(regexp_extract(string(x), 'E(-?[0-9]+)$', 1), '-', ''))), '0') END
+"""
+
+
 def triple_hash(s: Column, p: Column, o: Column) -> Column:
     """Identity of a triple by its texts; datatype, language and term kind do not take part."""
     return F.sha2(F.concat(F.lit("subject="), s, F.lit("\npredicate="), p, F.lit("\nobject="), o), 256)
@@ -105,6 +117,12 @@ def ntriples_line() -> Column:
     return F.concat_ws(" ", node(F.col("subject")), F.concat(F.lit("<"), F.col("predicate"), F.lit(">")), o, F.lit("."))
 
 
+def nquads_line(graph: str | None = None) -> Column:
+    """A triple's N-Quads line; without a graph it is in the default one."""
+    line = ntriples_line()
+    return line if graph is None else F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(f"<{graph}> ."))
+
+
 def sparql_json_term(c: Column) -> Column:
     """A result cell as a SPARQL JSON term: blank node, IRI, WKT literal or literal, by its text."""
     wkt = c.rlike(r"(?i)^(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)\s*(Z|M|ZM)?\s*(\(|EMPTY)")

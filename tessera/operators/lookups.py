@@ -61,11 +61,15 @@ def describe(triples: DataFrame, subject: str) -> DataFrame:
     return triples.filter(F.col("subject") == subject).select("predicate", terms.object_text().alias("object")).orderBy("predicate", F.col("object").asc_nulls_last())
 
 
+# Schemes whose IRIs have no authority.
+BARE_SCHEMES = ("urn", "mailto", "tel", "data", "doi", "tag", "did", "info", "news", "geo")
+
+
 def resolve_subject(subject: str, base: str) -> str:
     """A subject as a user writes it: <iri>, a blank node, an absolute IRI, or a name relative to the base."""
     if subject.startswith("<") and subject.endswith(">"):
         return subject[1:-1]
-    if subject.startswith("_:") or "://" in subject or subject.split(":", 1)[0] in ("urn", "mailto"):
+    if subject.startswith("_:") or "://" in subject or subject.split(":", 1)[0].lower() in BARE_SCHEMES and ":" in subject:
         return subject
     return base + subject
 
@@ -101,8 +105,11 @@ def geometries(triples: DataFrame, bbox: str | None = None, limit: int = 1000, o
     if bbox:
         x0, y0, x1, y1 = geo.parse_bbox(bbox)
         rows = rows.withColumn("b", geo.bounds(F.col("object_geometry"))).filter((F.col("b.xmin") <= x1) & (F.col("b.xmax") >= x0) & (F.col("b.ymin") <= y1) & (F.col("b.ymax") >= y0))
-        page = F.lit(geo.to_wkb(("POLYGON", [[(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]])))
-        rows = rows.filter(geo.relation("sfIntersects", F.col("object_geometry"), page)) if x0 < x1 and y0 < y1 else rows
+        if x0 < x1 and y0 < y1:
+            page = ("POLYGON", [[(x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0)]])
+        else:
+            page = ("POINT", (x0, y0)) if x0 == x1 and y0 == y1 else ("LINESTRING", [(x0, y0), (x1, y1)])
+        rows = rows.filter(geo.relation("sfIntersects", F.col("object_geometry"), F.lit(geo.to_wkb(page))))
     page = rows.orderBy("subject", "predicate").offset(max(0, offset)).limit(limit)
     return page.select("subject", "predicate", geo.st_asgeojson(F.col("object_geometry")).alias("geometry"))
 
@@ -112,12 +119,13 @@ def extent(triples: DataFrame) -> DataFrame:
     return b.agg(F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"), F.count("*").alias("count"))
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Added and removed triples by hash, in the order of change and hash."""
+def snapshot_diff(old: DataFrame, new: DataFrame, ordered: bool = True) -> DataFrame:
+    """Added and removed triples by hash, in the order of change and hash if asked; each side is shuffled once."""
     cols = [c for c in S.COLUMNS if c in new.columns]
-    added = new.join(old.select("triple_hash"), "triple_hash", "left_anti").select(F.lit("added").alias("change_type"), *cols)
-    removed = old.join(new.select("triple_hash"), "triple_hash", "left_anti").select(F.lit("removed").alias("change_type"), *cols)
-    return added.unionByName(removed).orderBy("change_type", "triple_hash")
+    a, b = (df.select(F.col("triple_hash").alias(f"{p}h"), F.struct(cols).alias(p)) for df, p in ((old, "o"), (new, "n")))
+    found = a.join(b, F.col("oh") == F.col("nh"), "full_outer").filter(F.col("oh").isNull() | F.col("nh").isNull())
+    out = found.select(F.when(F.col("oh").isNull(), "added").otherwise("removed").alias("change_type"), F.coalesce("n", "o").alias("t")).select("change_type", *[F.col(f"t.{c}").alias(c) for c in cols])
+    return out.orderBy("change_type", "triple_hash") if ordered else out
 
 
 def stacked_imports(views: dict[str, DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import terms
 from tessera.schema import TesseraError
+from tessera.shared import cut
 from tessera.sources.linked import parse_jsonld
 
 Task = Callable[[dict], Iterator[dict]]
@@ -33,10 +34,10 @@ def tasks(triples: DataFrame, module_classes: list[str]) -> DataFrame:
     return typed.groupBy("subject").agg(F.sort_array(F.collect_set("object_iri")).alias("classes")).orderBy("subject")
 
 
-def instances(triples: DataFrame, module_classes: list[str], namespace: str = "", depth: int = 3) -> DataFrame:
+def instances(triples: DataFrame, module_classes: list[str], namespace: str = "") -> DataFrame:
     """(subject, instance): each task's node as JSON, local names within the namespace, values in sorted lists.
 
-    Blank nodes are nested down to the given depth; below it only their label is left.
+    Blank nodes are nested however deep they go, the innermost first, one round a level; those on a cycle, or that lead into one, are left as labels.
     """
     wanted = triples.filter(F.col("predicate").startswith(namespace) | (F.col("predicate") == S.RDF_TYPE))
     local = F.when(F.col("predicate") == S.RDF_TYPE, F.lit("@type")).otherwise(F.substr("predicate", F.lit(len(namespace) + 1)))
@@ -51,13 +52,22 @@ def instances(triples: DataFrame, module_classes: list[str], namespace: str = ""
 
     value = F.expr("substr(v, 6, length(v) - 6)")
     flat = rows.withColumn("v", F.when(F.col("v") != "{}", value).otherwise(F.lit("null")))
-    inner = nodes(flat)
-    for _ in range(depth - 1):
-        below = inner.select(F.col("subject").alias("to"), F.concat(F.lit("{"), F.col("body"), F.lit("}")).alias("nested"))
-        inner = nodes(flat.join(below, "to", "left").withColumn("v", F.coalesce("nested", "v")))
+    filled = lambda of, done: of.join(done, "to", "left").withColumn("v", F.coalesce("nested", "v"))
+    blank = cut(flat.filter(F.col("subject").startswith("_:")))
+    inner = blank.select(F.col("subject").alias("to")).distinct()
+    done = blank.select(F.col("subject").alias("to"), F.lit("").alias("nested")).limit(0)
+    while True:
+        # a blank node is ready if all blank nodes below it that are subjects are done
+        left = blank.join(done.select(F.col("to").alias("subject")), "subject", "left_anti")
+        waits = left.join(inner.join(done.select("to"), "to", "left_anti"), "to", "left_semi").select("subject").distinct()
+        ready = left.join(waits, "subject", "left_anti")
+        new = cut(nodes(filled(ready, done)).select(F.col("subject").alias("to"), F.concat(F.lit("{"), F.col("body"), F.lit("}")).alias("nested")))
+        if new.isEmpty():
+            break
+        done = cut(done.union(new))
     mine = tasks(triples, module_classes).select("subject")
     ident = F.expr("substr(to_json(struct(subject as `@id`)), 1, length(to_json(struct(subject as `@id`))) - 1)")
-    return inner.join(mine, "subject", "left_semi").select("subject", F.concat(ident, F.lit(","), F.col("body"), F.lit("}")).alias("instance"))
+    return nodes(filled(flat.join(mine, "subject", "left_semi"), done)).select("subject", F.concat(ident, F.lit(","), F.col("body"), F.lit("}")).alias("instance"))
 
 
 def error_text(node: dict) -> str | None:

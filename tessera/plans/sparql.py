@@ -347,6 +347,11 @@ def _constant(alias: str, position: str, node) -> Column:
     return c("object_float") == F.lit(number) if number is not None else c("object_string") == F.lit(node.value)
 
 
+def _conjuncts(e) -> list:
+    """The conditions that an expression joins by and."""
+    return _conjuncts(e.left) + _conjuncts(e.right) if isinstance(e, Binary) and e.op == "&&" else [e]
+
+
 class Translation:
     """A query over a triples frame. Patterns are joined most constants first and connected wherever they can be."""
 
@@ -374,7 +379,9 @@ class Translation:
             for t in tests:
                 renamed = renamed.filter(t)
             self.patterns[alias] = renamed
-        self.filters = [self.filter(f) for f in query.filters]
+        conjuncts = [c for f in query.filters for c in _conjuncts(f)]
+        self.filters = [self.filter(f) for f in conjuncts]
+        self.spatial = {i: s for i, f in enumerate(conjuncts) if (s := self._spatial(f))}
         self.frame = self._joined(equal, fixed)
 
     def _test(self, alias: str, position: str, node) -> Column:
@@ -390,12 +397,23 @@ class Translation:
         frame = self._apply(frame, done, equal, used)
         while rest:
             linked = [a for a in rest if any(a in s and (s - {a}) & done for s, _ in equal)]
-            nxt = linked[0] if linked else rest[0]
+            near = [(a, i) for i, (x, y, *_) in self.spatial.items() if ("f", i) not in used for a, other in ((x, y), (y, x)) if a in rest and other in done]
+            nxt = linked[0] if linked else near[0][0] if near else rest[0]
             rest.remove(nxt)
             done.add(nxt)
             on = [(i, c) for i, (s, c) in enumerate(equal) if i not in used and s <= done and nxt in s and len(s) > 1]
             used |= {i for i, _ in on}
-            frame = frame.join(self.patterns[nxt], [c for _, c in on], "inner") if on else frame.crossJoin(self.patterns[nxt])
+            if on:
+                frame = frame.join(self.patterns[nxt], [c for _, c in on], "inner")
+            elif near:
+                # boxes must meet for the condition to hold: an equi-join on grid cells finds them
+                i = near[0][1]
+                used.add(("f", i))
+                x, y, name, margin = self.spatial[i]
+                geometry = lambda a: f"{a}_object_geometry"
+                frame = geo.spatial_join(frame, self.patterns[nxt], geometry(y if nxt == x else x), geometry(nxt), name, margin, self.filters[i][1])
+            else:
+                frame = frame.crossJoin(self.patterns[nxt])
             frame = self._apply(frame, done, equal, used)
         return frame
 
@@ -410,6 +428,19 @@ class Translation:
                 frame = frame.filter(c)
         return frame
 
+    def _spatial(self, e) -> tuple[str, str, str, float] | None:
+        """(alias, alias, relation, margin) of a condition on two patterns' geometries that holds only where their boxes meet within the margin."""
+        name, margin = "", 0.0
+        if isinstance(e, Binary) and e.op in ("<", "<=") and isinstance(e.left, Call) and isinstance(e.right, Literal) and (number := terms.gate(e.right.value)) is not None:
+            unit = e.left.args[2].value if len(e.left.args) == 3 and isinstance(e.left.args[2], Iri) else S.UOM + "degree"
+            if e.left.name.lower() == (S.GEOF + "distance").lower() and unit == S.UOM + "degree" and 0 <= number < 360:
+                e, name, margin = Call(S.GEOF + "sfIntersects", e.left.args[:2]), "distance", number
+        if not isinstance(e, Call) or len(e.args) != 2 or not all(isinstance(a, Var) for a in e.args):
+            return None
+        name = name or next((n for n in geo.RELATIONS if e.name.lower() == (S.GEOF + n).lower() and n != "sfDisjoint"), "")
+        a, b = (self.bound(v) for v in e.args)
+        return (a.alias, b.alias, name, margin) if name and a.alias != b.alias else None
+
     # filters: (aliases, column)
 
     def filter(self, e) -> tuple[set[str], Column]:
@@ -537,3 +568,83 @@ class Translation:
 def run(text: str, triples: DataFrame, default_limit: int = 0, compat: bool = True) -> DataFrame:
     """The rows of a query over a triples frame."""
     return Translation(parse(text), triples, compat).result(default_limit)
+
+
+# ---- visible translation ------------------------------------------------------------------------------------------
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def to_sql(text: str, default_limit: int = 0) -> str:
+    """A query as Spark SQL over the view `triples`, as a user may read and run it: each pattern is an aliased scan, shared variables are equal.
+
+    `double_text` and the st_ functions are those that an engine registers.
+    """
+    query = parse(text)
+    Translation(query, _no_triples(S.TRIPLES)).result()  # the same errors as when it runs
+    alias_of: dict[str, tuple[str, str]] = {}
+    tests: list[str] = []
+    compare = lambda b: f"coalesce({b[0]}.object_iri, double_text({b[0]}.object_float), {b[0]}.object_string)" if b[1] == "object" else f"{b[0]}.{b[1]}"
+    show = lambda b: compare(b)[:-1] + f", st_astext({b[0]}.object_geometry))" if b[1] == "object" else compare(b)
+    for n, triple in enumerate(query.triples):
+        for position, node in zip(("subject", "predicate", "object"), triple, strict=True):
+            at = (f"t{n}", position)
+            if isinstance(node, Var):
+                first = alias_of.setdefault(node.name, at)
+                if first != at:
+                    tests.append(f"{compare(first)} = {compare(at)}")
+            elif position != "object":
+                tests.append(f"t{n}.{position} = {_quoted(node.value)}")
+            elif isinstance(node, Iri):
+                tests.append(f"t{n}.object_iri = {_quoted(node.value)}")
+            else:
+                number = terms.gate(node.value)
+                tests.append(f"t{n}.object_float = double({_quoted(str(number))})" if number is not None else f"t{n}.object_string = {_quoted(node.value)}")
+
+    def value(e, other) -> str:
+        if isinstance(e, Var):
+            b = alias_of[e.name]
+            if b[1] != "object":
+                return f"{b[0]}.{b[1]}"
+            number = isinstance(other, Call) or isinstance(other, Literal) and terms.gate(other.value) is not None
+            return f"{b[0]}.object_" + ("float" if number else "iri" if isinstance(other, Iri) else "string")
+        if isinstance(e, Literal):
+            number = terms.gate(e.value)
+            return f"double({_quoted(str(number))})" if number is not None else _quoted(e.value)
+        return _quoted(e.value) if isinstance(e, Iri) else call(e)
+
+    def geometry(e) -> str:
+        if isinstance(e, Var):
+            return f"{alias_of[e.name][0]}.object_geometry"
+        return f"st_geomfromtext({_quoted(e.value)})" if isinstance(e, Literal) else call(e)
+
+    def call(e: Call) -> str:
+        name = e.name[len(S.GEOF) :].lower().removeprefix("sf")
+        if name == "distance":
+            name = "distance_sphere" if len(e.args) == 3 and e.args[2].value in (S.UOM + "metre", S.UOM + "meter") else name
+        return f"st_{name}({', '.join(geometry(a) for a in e.args[:2])})"
+
+    def condition(e) -> str:
+        if isinstance(e, Not):
+            return f"NOT ({condition(e.inner)})"
+        if isinstance(e, Binary) and e.op in ("&&", "||"):
+            return f"({condition(e.left)} {'AND' if e.op == '&&' else 'OR'} {condition(e.right)})"
+        if isinstance(e, Binary):
+            return f"{value(e.left, e.right)} {'<>' if e.op == '!=' else e.op} {value(e.right, e.left)}"
+        return call(e)
+
+    tests += [condition(f) for f in query.filters]
+    names = query.variables if query.variables is not None else list(alias_of)
+    columns = ", ".join(f"{show(alias_of[n])} AS `{n}`" for n in names)
+    out = f"SELECT {'DISTINCT ' if query.distinct else ''}{columns}\nFROM {', '.join(f'triples t{n}' for n in range(len(query.triples)))}"
+    out += "\nWHERE " + "\n  AND ".join(tests) if tests else ""
+    limit = query.limit if query.limit is not None else default_limit or None
+    return out if limit is None else f"{out}\nLIMIT {limit}"
+
+
+def _no_triples(schema) -> DataFrame:
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().createDataFrame([], schema)

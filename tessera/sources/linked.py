@@ -13,7 +13,9 @@ from urllib.parse import urljoin
 from xml.etree import ElementTree
 from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.sources.rdf import InvalidRdf, parse_turtle, read_files
@@ -383,3 +385,65 @@ def parse_any(text: str, kind: str | None = None, base: str = "", contexts: dict
 def read_rdf(spark: SparkSession, path: str, base: str = "", contexts: dict[str, dict] | None = None) -> DataFrame:
     """Terms of all RDF files below a path, each parsed by its suffix."""
     return read_files(spark, path, "|".join(SUFFIXES), lambda name, text: parse_any(text, SUFFIXES[name.rsplit(".", 1)[-1]], base, contexts))
+
+
+def used_terms(spark: SparkSession, path: str, base: str = "", contexts: dict[str, dict] | None = None) -> DataFrame:
+    """(path, line, iri): the predicates, types and datatypes that the files below a path use, each where it stands."""
+    rows = read_rdf(spark, path, base, contexts)
+    pick = lambda c, cond: rows.filter(cond).select("path", "line", F.col(c).alias("iri"))
+    return pick("p", F.lit(True)).union(pick("o", (F.col("p") == S.RDF_TYPE) & (F.col("o_kind") == "iri"))).union(pick("o_datatype", F.col("o_datatype").isNotNull())).distinct()
+
+
+def problems(text: str, base: str = "") -> list[tuple[int, str, str]]:
+    """(line, term, message) of a JSON-LD document's names with a prefix that no context declares, and of local nodes with properties but without a type."""
+    out: list[tuple[int, str, str]] = []
+    line = lambda term: text.count("\n", 0, max(0, text.find(json.dumps(term, ensure_ascii=False)))) + 1
+
+    def declared(context, known: frozenset[str]) -> frozenset[str] | None:
+        """Prefixes that hold below a context; None if one of them is given by address, so that nothing can be said."""
+        for one in context if isinstance(context, list) else [context]:
+            if isinstance(one, str):
+                return None
+            if isinstance(one, dict):
+                known = known | frozenset(one)
+        return known
+
+    def walk(node, known: frozenset[str] | None) -> None:
+        if isinstance(node, list):
+            for item in node:
+                walk(item, known)
+        if not isinstance(node, dict):
+            return
+        if "@context" in node and known is not None:
+            known = declared(node["@context"], known)
+        types = node.get("@type", [])
+        for term in [k for k in node if not k.startswith("@")] + [t for t in (types if isinstance(types, list) else [types]) if isinstance(t, str)]:
+            prefix, colon, rest = term.partition(":")
+            if colon and not rest.startswith("//") and prefix != "_" and known is not None and prefix not in known:
+                out.append((line(term), term, f"undefined prefix {prefix}"))
+        name = node.get("@id")
+        if isinstance(name, str) and "@type" not in node and any(k not in ("@id", "@context") for k in node) and (not ABSOLUTE.match(name) or base and name.startswith(base)):
+            out.append((line(name), urljoin(base, name) if base else name, "a local node has no type"))
+        for key, value in node.items():
+            if key != "@context":
+                walk(value, known)
+
+    walk(json.loads(text) if text.strip() else None, frozenset())
+    return out
+
+
+def jsonld_problems(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """(path, line, term, message) of the JSON-LD files below a path, each in a task of its own."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("path").rlike(r"\.(json|jsonld)$"))
+    return checked_jsonld(files, base)
+
+
+def checked_jsonld(files: DataFrame, base: str = "") -> DataFrame:
+    """(path, line, term, message) of documents in a frame of (path, content as UTF-8 bytes)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(name, n, term, f"{name}:{n}: {message}: {term}") for name, content in zip(pdf["path"], pdf["content"], strict=True) for n, term, message in problems(bytes(content or b"").decode("utf-8-sig"), base)]
+            yield pd.DataFrame(rows, columns=["path", "line", "term", "message"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, line int, term string, message string")

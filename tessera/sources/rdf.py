@@ -176,10 +176,10 @@ def read_files(spark: SparkSession, path: str, suffixes: str, parse: Callable[[s
     """Terms of the files below a path whose names end in one of the suffixes; parse takes name and text.
 
     Blank nodes are kept apart by file, with labels that a repeated task gives again.
-    An empty file has no terms; a file that cannot be parsed raises with its name.
+    Hidden files and folders below the path are skipped, as Spark lists none. An empty file has no terms; a file that cannot be parsed raises with its name.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return parse_files(files.filter(F.col("path").rlike(rf"\.({suffixes})$") & ~F.col("path").rlike(r"/\.sal/")), parse)
+    return parse_files(files.filter(F.col("path").rlike(rf"\.({suffixes})$")), parse)
 
 
 def parse_files(files: DataFrame, parse: Callable[[str, str], list[tuple]]) -> DataFrame:

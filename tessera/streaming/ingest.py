@@ -10,10 +10,11 @@ from tessera.sources import rdf
 
 
 def append_batch(store: Store, batch: DataFrame) -> None:
-    """Add a micro-batch's triples to the table; triples that are there already change nothing."""
-    new = terms.split_terms(batch).dropDuplicates(["triple_hash"])
-    old = store.as_of().select(new.columns) if store.log() else new.limit(0)
-    store.write(old.unionByName(new.join(old.select("triple_hash"), "triple_hash", "left_anti").select(new.columns)))
+    """Add a micro-batch's triples to the table; triples that are there already change nothing. Only new rows are written.
+
+    A hash does not tell an IRI from an equal text, so a batch is made distinct on all columns.
+    """
+    store.append(terms.split_terms(batch).distinct())
 
 
 def stream_ntriples(spark: SparkSession, source: str, table: str, checkpoint: str):
