@@ -81,7 +81,7 @@ class Pins:
 
     def terms(self, spark: SparkSession, address: str) -> DataFrame:
         data, kind = self.get(address)
-        return spark.createDataFrame([r[1:] for r in linked.parse_any(data, kind, address)], S.TERMS)
+        return spark.createDataFrame([r[1:] for r in linked.parse_any(data.decode("utf-8-sig"), kind, address)], S.TERMS)
 
     def listing(self, spark: SparkSession) -> DataFrame:
         """(ontology, version, format) of what is pinned."""

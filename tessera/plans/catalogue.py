@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.functions import geo, sinks, terms
 from tessera.operators import lookups, modules, validate
-from tessera.plans import sparql
+from tessera.plans import checks, sparql
 from tessera.sources import linked, rdf, tabular
 from tessera.sources.tabular import BASE, C, P
 
@@ -68,14 +68,14 @@ _sparql(
     _bgp("t0.subject AS c, t0.otext AS name, t3.otext AS nation, t5.otext AS region, t1.otext AS bal", _p(0, "c_name"), _p(1, "c_acctbal"), _p(2, "c_nationkey"), _p(3, "n_name"), _p(4, "n_regionkey"), _p(5, "r_name"), "t0.subject = t1.subject", "t0.subject = t2.subject", "t2.otext = t3.subject", "t3.subject = t4.subject", "t4.otext = t5.subject", "t1.object_float > 5000"),
 )
 _sparql("cartesian_small", ("region",), "SELECT ?a ?b WHERE { ?x p:r_name ?a . ?y p:r_name ?b }", _bgp("t0.otext AS a, t1.otext AS b", _p(0, "r_name"), _p(1, "r_name")))
-_sparql("self_pattern", ("region",), "SELECT ?x WHERE { ?x ?p ?x }", _bgp("t0.subject AS x", "t0.subject = t0.otext"))
+_sparql("self_pattern", ("region",), "SELECT ?x WHERE { ?x ?p ?x }", _bgp("t0.subject AS x", "t0.subject = t0.otext"), vocabulary=True)
 # filters
 _sparql("filter_eq", ("part",), 'SELECT ?s WHERE { ?s p:p_size ?v FILTER(?v = "15") }', _bgp("t0.subject AS s", _p(0, "p_size"), "t0.object_float = 15"))
 _sparql("filter_ne_iri", ("nation",), "SELECT ?s ?p WHERE { ?s ?p ?o FILTER(?o != <https://example.org/region/1>) }", _bgp("t0.subject AS s, t0.predicate AS p", f"t0.object_iri <> '{BASE}region/1'"))
 _sparql("filter_range", ("customer",), "SELECT ?s ?v WHERE { ?s p:c_acctbal ?v FILTER(?v >= 1000 && ?v < 2000.5) }", _bgp("t0.subject AS s, t0.otext AS v", _p(0, "c_acctbal"), "t0.object_float >= 1000 AND t0.object_float < 2000.5"))
 _sparql("filter_and_or_not", ("customer",), 'SELECT ?s WHERE { ?s p:c_mktsegment ?m ; p:c_acctbal ?v FILTER(!(?m = "BUILDING") && (?v < 0 || ?v > 9000)) }', _bgp("t0.subject AS s", _p(0, "c_mktsegment"), _p(1, "c_acctbal"), "t0.subject = t1.subject", "NOT (t0.object_string = 'BUILDING') AND (t1.object_float < 0 OR t1.object_float > 9000)"))
 _sparql("filter_cross_pattern", ("region",), "SELECT ?a ?b WHERE { ?x p:r_name ?a . ?y p:r_name ?b FILTER(?a < ?b) }", _bgp("t0.otext AS a, t1.otext AS b", _p(0, "r_name"), _p(1, "r_name"), "t0.object_string < t1.object_string"))
-_sparql("filter_var_var_compat", ("part",), "SELECT ?s WHERE { ?s p:p_size ?a . ?s p:p_retailprice ?b FILTER(?a < ?b) }", _bgp("t0.subject AS s", _p(0, "p_size"), _p(1, "p_retailprice"), "t0.subject = t1.subject", "t0.object_string < t1.object_string"))
+_sparql("filter_var_var_compat", ("part",), "SELECT ?s WHERE { ?s p:p_brand ?a . ?s p:p_type ?b FILTER(?a < ?b) }", _bgp("t0.subject AS s", _p(0, "p_brand"), _p(1, "p_type"), "t0.subject = t1.subject", "t0.object_string < t1.object_string"))
 _sparql("select_star", ("nation",), "SELECT * WHERE { ?s p:n_name ?n . ?s p:n_regionkey ?r }", _bgp("t0.subject AS s, t0.otext AS n, t1.otext AS r", _p(0, "n_name"), _p(1, "n_regionkey"), "t0.subject = t1.subject"))
 _sparql("distinct", ("nation",), "SELECT DISTINCT ?r WHERE { ?s p:n_regionkey ?r }", _bgp("DISTINCT t0.otext AS r", _p(0, "n_regionkey")))
 _frame("limit_count", ("nation",), lambda t: sparql.run(PREFIX + "SELECT ?s WHERE { ?s p:n_name ?n } LIMIT 7", t).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM (SELECT 1 FROM triples WHERE predicate = '" + P + "n_name' LIMIT 7)")
@@ -183,19 +183,6 @@ QUERIES["imports_counts"] = lambda spark, sf_dir: _imports(spark, sf_dir).groupB
 ORACLES["imports_counts"] = _IMPORTS + "SELECT view, count(*) AS triples FROM imports GROUP BY 1"
 
 
-# metadata
-def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snaps = spark.createDataFrame([(1, 11, "append"), (2, 12, "overwrite"), (3, 13, "delete")], "sequence_number long, snapshot_id long, operation string")
-    return lookups.snapshot_listing(snaps, spark.createDataFrame([(12, "v2"), (12, "main"), (11, "v1")], "snapshot_id long, tag string"))
-
-
-QUERIES["snapshot_listing"] = _snapshots
-ORACLES["snapshot_listing"] = "SELECT s.snapshot_id, s.sequence_number, s.operation, coalesce(t.tags, '') AS tags FROM (VALUES (1::BIGINT, 11::BIGINT, 'append'), (2, 12, 'overwrite'), (3, 13, 'delete')) s(sequence_number, snapshot_id, operation) LEFT JOIN (SELECT snapshot_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM (VALUES (12, 'v2'), (12, 'main'), (11, 'v1')) g(snapshot_id, tag) GROUP BY 1) t USING (snapshot_id)"
-QUERIES["properties_explode"] = lambda spark, sf_dir: lookups.explode_properties(spark.createDataFrame([('{"b": "2", "a": "1", "modules": "[\\"m\\"]"}',)], "j string"), "j")
-ORACLES["properties_explode"] = """SELECT * FROM (VALUES ('a', '1'), ('b', '2'), ('modules', '["m"]')) v(key, value)"""
-QUERIES["ontologies"] = lambda spark, sf_dir: lookups.ontologies(spark.createDataFrame([("urn:a", "1", "ttl"), ("urn:b", "2", "xml")], "ontology string, version string, format string"), spark.createDataFrame([("urn:b",), ("urn:c",)], "ontology string"))
-ORACLES["ontologies"] = "SELECT * FROM (VALUES ('urn:a', '1', 'ttl', 'no'), ('urn:b', '2', 'xml', 'yes'), ('urn:c', '', '', 'yes')) v(ontology, version, format, imported)"
-
 # geometry
 _POINT = "t0.lon IS NOT NULL"
 _sparql("geo_within", ("supplier", "customer"), 'SELECT ?s WHERE { ?s p:at ?g FILTER(geof:sfWithin(?g, "POLYGON((-60 -40, 60 -40, 60 40, -60 40, -60 -40))"^^geo:wktLiteral)) }', _bgp("t0.subject AS s", _POINT, "t0.lon > -60 AND t0.lon < 60 AND t0.lat > -40 AND t0.lat < 40"), points=True)
@@ -207,37 +194,17 @@ _frame("geo_page", ("customer",), lambda t: lookups.geometries(t, "-90,-45,90,45
 
 def _near(t: DataFrame) -> DataFrame:
     pts = t.filter(F.col("predicate") == P + "at").select("subject", "object_geometry")
-    a = pts.filter(F.col("subject").contains("/supplier/")).select(F.col("subject").alias("a"), geo.construct("envelope", F.col("object_geometry")).alias("ga"), "object_geometry").drop("ga").withColumnRenamed("object_geometry", "ga")
+    a = pts.filter(F.col("subject").contains("/supplier/")).select(F.col("subject").alias("a"), F.col("object_geometry").alias("ga"))
     b = pts.filter(F.col("subject").contains("/customer/")).select(F.col("subject").alias("b"), F.col("object_geometry").alias("gb"))
     return geo.spatial_join(a, b, "ga", "gb", "sfEquals").select("a", "b")
 
 
 _frame("geo_join", ("supplier", "customer"), _near, "SELECT a.subject AS a, b.subject AS b FROM triples a JOIN triples b ON a.lon = b.lon AND a.lat = b.lat WHERE a.subject LIKE '%/supplier/%' AND b.subject LIKE '%/customer/%'", points=True)
 
-_SHAPES = ["POINT(1 1)", "POINT(0 0)", "LINESTRING(0 0, 2 2)", "LINESTRING(-1 1, 3 1)", "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))", "POLYGON((1 1, 3 1, 3 3, 1 3, 1 1))", "POLYGON((2 0, 4 0, 4 2, 2 2, 2 0))", "MULTIPOINT((5 5), (1 1))"]
-
-
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(i, w) for i, w in enumerate(_SHAPES)], "i int, wkt string").withColumn("g", geo.st_geomfromtext(F.col("wkt")))
-    both = g.select(F.col("i").alias("a"), F.col("g").alias("x")).crossJoin(g.select(F.col("i").alias("b"), F.col("g").alias("y")))
-    return both.select("a", "b", *[geo.relation(n, F.col("x"), F.col("y")).alias(n) for n in geo.RELATIONS])
-
-
-QUERIES["geo_relations_matrix"] = _matrix
-QUERIES["geo_constructors"] = lambda spark, sf_dir: spark.createDataFrame([(i, w) for i, w in enumerate(_SHAPES)], "i int, wkt string").withColumn("g", geo.st_geomfromtext(F.col("wkt"))).select("i", *[geo.st_astext(geo.construct(n, F.col("g"))).alias(n) for n in geo.CONSTRUCTORS], geo.st_geometrytype(F.col("g")).alias("kind"))
-
 _BOX = '"POLYGON((-90 -45, 0 -45, 0 45, -90 45, -90 -45))"^^geo:wktLiteral'
 _sparql("geo_set_operations", ("supplier",), f'SELECT ?s WHERE {{ ?s p:at ?g FILTER(geof:sfWithin(?g, geof:difference({_BOX}, "POLYGON((-50 -90, 90 -90, 90 90, -50 90, -50 -90))"^^geo:wktLiteral)) || geof:sfIntersects(geof:intersection(?g, {_BOX}), "POLYGON((-20 -90, 90 -90, 90 90, -20 90, -20 -90))"^^geo:wktLiteral)) }}', _bgp("t0.subject AS s", _POINT, "t0.lat BETWEEN -45 AND 45 AND (t0.lon > -90 AND t0.lon < -50 OR t0.lon BETWEEN -20 AND 0)"), points=True)
 
 
-def _overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(i, w) for i, w in enumerate(_SHAPES)], "i int, wkt string").withColumn("g", geo.st_geomfromtext(F.col("wkt")))
-    both = g.select(F.col("i").alias("a"), F.col("g").alias("x")).crossJoin(g.select(F.col("i").alias("b"), F.col("g").alias("y")))
-    return both.select("a", "b", *[geo.st_astext(geo.combine(n, F.col("x"), F.col("y"))).alias(n) for n in geo.SET_OPERATIONS])
-
-
-QUERIES["geo_overlays"] = _overlays
-
 # sinks
 _N = f"CASE WHEN object_iri IS NOT NULL THEN '<' || object_iri || '>' WHEN object_float IS NOT NULL THEN '\"' || CAST(object_float AS VARCHAR) || '\"^^<{S.XSD}double>' ELSE '\"' || object_string || '\"' END"
 _frame("export_ntriples", ("nation", "supplier"), lambda t: t.select(terms.ntriples_line().alias("line")), f"SELECT '<' || subject || '> <' || predicate || '> ' || {_N} || ' .' AS line FROM triples")
@@ -249,24 +216,6 @@ _frame("untyped_subjects", ("region",), lambda t: validate.untyped_subjects(t, C
 _frame("types_without_class", ("region", "nation", "customer"), lambda t: validate.types_without_class(t, C), f"SELECT type FROM (VALUES ('{C}Region')) v(type)", vocabulary=True)
 
 
-def _undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = spark.createDataFrame([("a.ttl", 3, P + "n_name"), ("a.ttl", 5, P + "n_nmae"), ("b.ttl", 1, "urn:x"), ("b.ttl", 2, C + "Natoin")], "path string, line int, iri string")
-    known = spark.createDataFrame([(P + "n_name",), (C + "Nation",)], "iri string")
-    return validate.undefined_terms(used, known, {"p": P, "c": C, "e": BASE})
-
-
-QUERIES["undefined_terms"] = _undefined
-ORACLES["undefined_terms"] = "SELECT path, CAST(line AS INT) AS line, term, path || ':' || line || ': undefined term ' || term AS message FROM (VALUES ('a.ttl', 5, 'p:n_nmae'), ('b.ttl', 2, 'c:Natoin')) v(path, line, term)"
-
-
-def _bnodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("iri", "urn:a", "urn:p", "bnode", "_:1", None, None), ("bnode", "_:1", "urn:q", "literal", "x", None, None), ("iri", "urn:a", "urn:p", "bnode", "_:2", None, None), ("bnode", "_:2", "urn:q", "bnode", "_:3", None, None), ("bnode", "_:3", "urn:q", "literal", "x", None, "en")]
-    return validate.stable_blank_nodes(spark.createDataFrame(rows, S.TERMS))
-
-
-QUERIES["bnode_stable_ids"] = _bnodes
-
-
 def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
     tabular.triples(spark, sf_dir, "orders").createOrReplaceTempView("triples")
     return spark.sql("SELECT predicate, n, CAST(rank() OVER (ORDER BY n DESC) AS BIGINT) AS r FROM (SELECT predicate, count(DISTINCT object_string) AS n FROM triples GROUP BY predicate)")
@@ -281,8 +230,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **checks.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **checks.ORACLES}

@@ -422,8 +422,8 @@ def problems(text: str, base: str = "") -> list[tuple[int, str, str]]:
             if colon and not rest.startswith("//") and prefix != "_" and known is not None and prefix not in known:
                 out.append((line(term), term, f"undefined prefix {prefix}"))
         name = node.get("@id")
-        if isinstance(name, str) and "@type" not in node and any(k not in ("@id", "@context") for k in node) and (not ABSOLUTE.match(name) or base and name.startswith(base)):
-            out.append((line(name), urljoin(base, name) if base else name, "a local node has no type"))
+        if isinstance(name, str) and "@type" not in node and any(k not in ("@id", "@context") for k in node) and ("://" not in name or base and name.startswith(base)):
+            out.append((line(name), name if "://" in name else base + name, "a local node has no type"))
         for key, value in node.items():
             if key != "@context":
                 walk(value, known)

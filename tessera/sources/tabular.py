@@ -28,6 +28,7 @@ TABLES = {
 VOCABULARY = [
     (C + "Customer", S.RDF_TYPE, "iri", S.RDFS + "Class"), (C + "Customer", S.RDFS + "label", "text", "Customer"), (C + "Customer", S.RDFS + "subClassOf", "iri", C + "Party"), (C + "Supplier", S.RDFS + "subClassOf", "iri", C + "Party"),
     (C + "Party", S.RDF_TYPE, "iri", S.RDFS + "Class"), (C + "Party", S.RDFS + "subClassOf", "iri", S.RDFS + "Class"), (C + "Nation", S.RDF_TYPE, "iri", S.OWL + "Class"),
+    (S.RDFS + "Class", S.RDF_TYPE, "iri", S.RDFS + "Class"), (C + "Shop", S.RDFS + "subClassOf", "iri", C + "Supplier"), (C + "Kiosk", S.RDFS + "subClassOf", "iri", C + "Shop"), (C + "Egg", S.RDFS + "subClassOf", "iri", C + "Hen"), (C + "Hen", S.RDFS + "subClassOf", "iri", C + "Egg"),
     (BASE + "t/money", S.RDF_TYPE, "iri", S.RDFS + "Datatype"), (BASE + "t/money", S.RDFS + "label", "text", "Money"), (BASE + "t/money", S.RDFS + "label", "text", "Amount"), (BASE + "t/code", S.RDF_TYPE, "iri", S.RDFS + "Datatype"), (BASE + "t/code", S.RDFS + "comment", "text", "A short code"),
     (P + "n_name", S.RDF_TYPE, "iri", S.OWL + "DatatypeProperty"), (P + "n_regionkey", S.RDF_TYPE, "iri", S.OWL + "ObjectProperty"), (P + "c_name", S.RDF_TYPE, "iri", S.RDF + "Property"),
     (BASE + "s/nation", S.RDF_TYPE, "iri", S.SH + "NodeShape"), (BASE + "s/nation", S.RDFS + "label", "text", "Nation shape"), (BASE + "s/nation", S.SH + "targetClass", "iri", C + "Nation"), (BASE + "s/nation", S.SH + "targetClass", "iri", C + "Country"), (BASE + "s/name", S.RDF_TYPE, "iri", S.SH + "PropertyShape"),
