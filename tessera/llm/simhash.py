@@ -20,7 +20,9 @@ minimum labels over links and written tables, never on the driver.
 
 A null or wordless text has fingerprint zero and links like any other. Repeated
 rows and repeated ids are kept; rows with a null id get a group of their own
-fingerprint's smallest id. An empty table gives no rows.
+fingerprint's smallest id. Long texts count as a whole, a bit that half of the
+shingles have is 0. Columns other than id and text are not read, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ COVERING = 3
 GOLAY = 0xC75  # generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 BLOCKS = (0, 23)  # first bits of the two blocks
 SET_ROWS = 4_096  # residents and visitors compared in one piece
+HOT_ROWS = 512  # rows of a key that one task may look up, and
+HOT_KEYS = 2_000  # one in so many of all rows
+SALTS = 32  # tasks that a hot key's rows are dealt to
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -183,18 +188,18 @@ def links_of(home: np.ndarray, came: np.ndarray, threshold: int) -> tuple[np.nda
 
 
 def _split(home: np.ndarray, came: np.ndarray, first: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Compare a large set by the anchors of another block: residents at their home there, visitors at all within the threshold."""
+    """Compare a large set by the anchors of another block: residents at their home there, visitors at every anchor within the covering
+    radius plus the threshold. One anchor at a time, so memory grows with the set and not with the replicas."""
     if len(home) * len(came) <= SET_ROWS * SET_ROWS:
         yield links_of(home, came, threshold)
         return
-    mine = home_anchor(block_of(home, first))
-    row, anchor = anchors_within(block_of(came, first), threshold)
-    by, to = np.argsort(mine, kind="stable"), np.argsort(anchor, kind="stable")
-    mine, anchor = mine[by], anchor[to]
-    for a in np.unique(mine):
-        h = home[by[slice(*np.searchsorted(mine, [a, a + 1]))]]
-        c = came[row[to[slice(*np.searchsorted(anchor, [a, a + 1]))]]]
-        yield links_of(h, c, threshold)
+    words = Anchors.tables()[0].astype(np.uint32)
+    mine, block = home_anchor(block_of(home, first)), block_of(came, first).astype(np.uint32)
+    by = np.argsort(mine, kind="stable")
+    edges = np.searchsorted(mine[by], np.arange(len(words) + 1))
+    for a in np.flatnonzero(np.diff(edges)):
+        near = np.bitwise_count(block ^ words[a]) <= COVERING + threshold
+        yield links_of(home[by[edges[a] : edges[a + 1]]], came[near], threshold)
 
 
 def anchor_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -212,56 +217,76 @@ def anchor_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             out_h.append(anchor == home_anchor(block)[row])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).astype(np.int32)), pa.array(np.concatenate(out_f).view(np.int64)), pa.array(np.concatenate(out_h))], ["anchor", "fp", "home"])
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        home = pdf["home"].to_numpy()
-        other = BLOCKS[1 - int(pdf["anchor"].iloc[0]) // 4096]
-        found = list(_split(fp[home], fp, other, threshold))
+    def compare(anchor: int, fp: np.ndarray, home: np.ndarray) -> pd.DataFrame:
+        found = list(_split(fp[home], fp, BLOCKS[1 - anchor // 4096], threshold))
         return pd.DataFrame({"a": np.concatenate([x for x, _ in found]).view(np.int64), "b": np.concatenate([y for _, y in found]).view(np.int64)})
 
     def compare_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The anchors of a partition, one after the other as they come sorted."""
-        rest: pd.DataFrame | None = None
+        now, parts = -1, []
+
+        def done() -> Iterator[pd.DataFrame]:
+            if parts:
+                yield compare(now, np.concatenate([f for f, _ in parts]), np.concatenate([h for _, h in parts]))
+
         for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["anchor"].iloc[-1] if len(pdf) else None
-            done, rest = pdf[pdf["anchor"] != last], pdf[pdf["anchor"] == last]
-            for _, group in done.groupby("anchor", sort=False):
-                yield compare(group)
-        if rest is not None and len(rest):
-            yield compare(rest)
+            anchor, fp, home = pdf["anchor"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy()
+            starts = np.flatnonzero(np.diff(anchor, prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(anchor)], strict=True):
+                if anchor[i] != now:
+                    yield from done()
+                    now, parts = int(anchor[i]), []
+                parts.append((fp[i:j], home[i:j]))
+        yield from done()
 
     dealt = map_batches(fps.select("fp"), deal, "anchor int, fp long, home boolean")
     met = dealt.repartition("anchor").sortWithinPartitions("anchor")
     return met.mapInPandas(compare_all, "a long, b long").distinct()
 
 
+def hot_join(rows: DataFrame, key: str, names: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """rows (written, so that they are read twice cheaply) joined with a table in which each name is once.
+
+    A key with more than HOT_ROWS rows and more than one in HOT_KEYS of all is hot; there are at most HOT_KEYS of these. Hot rows are
+    dealt to SALTS tasks by all their columns, and the names they look up are copied to each.
+    """
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = [r[0] for r in rows.groupBy(key).count().filter(F.col("count") > least).select(key).collect()]
+    if not hot:
+        return rows.join(names, F.col(key) == F.col(name), how)
+    salt = lambda c, salted: F.when(F.col(c).isin(hot), salted)
+    dealt = rows.withColumn("_salt", F.coalesce(salt(key, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")), F.lit(0)))
+    copies = names.withColumn("_copy", F.explode(F.coalesce(salt(name, F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0)))))
+    return dealt.join(copies, (F.col(key) == F.col(name)) & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy")
+
+
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, least): for each vertex of (fp, least) the smallest value within its component.
 
     Each round sends every vertex the least label among its neighbours, then
     looks up the label of its label. Rounds are written tables; the loop ends
-    when no label changes, after about the logarithm of the longest chain.
+    when no label changes, after about the logarithm of the longest chain. The
+    members of a large group share a label and a neighbour: such keys are dealt
+    to several tasks.
     """
-    both = links.union(links.select("b", "a")).toDF("a", "b")
-    linked = both.select("a").distinct()
-    both = stored(both, "links")
+    both = stored(links.union(links.select("b", "a")).toDF("a", "b"), "links")
     # labels are fingerprints (a vertex name) during the rounds; unlinked vertices are their own
-    labels = stored(linked.select(F.col("a").alias("v"), F.col("a").alias("l")), "labels")
+    labels = stored(both.select("a").distinct().select(F.col("a").alias("v"), F.col("a").alias("l")), "labels")
     while True:
-        heard = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
-        near = labels.join(heard, F.col("v") == F.col("a"), "left").select("v", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("was"))
+        heard = hot_join(both, "b", labels.select(F.col("v").alias("n"), "l"), "n").groupBy("a").agg(F.min("l").alias("m"))
+        near = stored(labels.join(heard, F.col("v") == F.col("a"), "left").select("v", F.least("l", F.coalesce("m", "l")).alias("l"), F.col("l").alias("was")), "near")
         up = near.select(F.col("v").alias("p"), F.col("l").alias("pl"))
-        new = near.join(up, F.col("l") == F.col("p"), "left").select("v", F.least("l", F.coalesce("pl", "l")).alias("l"), "was")
-        new = stored(new, "labels")
+        new = stored(hot_join(near, "l", up, "p", "left").select("v", F.least("l", F.coalesce("pl", "l")).alias("l"), "was"), "labels")
         changed = new.filter("l <> was").limit(1).count()
         drop_stored(labels)
+        drop_stored(near)
         labels = new.select("v", "l")
         if not changed:
             break
-    named = vertices.join(labels, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("l", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("least"))
-    return named.select("fp", "root").join(least, "root").select("fp", "least")
+    drop_stored(both)
+    named = stored(vertices.join(labels, F.col("fp") == F.col("v"), "left").select("fp", "least", F.coalesce("l", "fp").alias("root")), "roots")
+    least = named.groupBy("root").agg(F.min("least").alias("lowest"))
+    return hot_join(named.select("fp", "root"), "root", least.withColumnRenamed("root", "_root"), "_root").select("fp", F.col("lowest").alias("least"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = THRESHOLD) -> DataFrame:

@@ -418,3 +418,44 @@ def test_packing_spreads_repeated_rows_and_long_documents(spark):
         shards[r["bin_id"] >> 32] = shards.get(r["bin_id"] >> 32, 0) + 1
     assert len(bins) == 300 + -(-10_001 // 100) and len(shards) >= 8 and max(shards.values()) < 100
     assert sum(r["doc_id"] == 1 for r in bins) == 300
+
+
+def test_hot_keys_join_as_others(spark):
+    old, simhash.HOT_ROWS = simhash.HOT_ROWS, 20
+    try:
+        rows = spark.createDataFrame([(i, 1 if i % 3 else i) for i in range(300)], "a long, k long")
+        names = spark.createDataFrame([(i, i * 10) for i in range(0, 300, 2)] + [(1, 7)], "n long, x long")
+        for how in ("inner", "left"):
+            got = sorted(map(str, simhash.hot_join(rows, "k", names, "n", how).select("a", "k", "x").collect()))
+            assert got == sorted(map(str, rows.join(names, F.col("k") == F.col("n"), how).select("a", "k", "x").collect()))
+        # a star of 400, a chain of 200 and single ones
+        links = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1200)], "a long, b long")
+        vertices = spark.createDataFrame([(i, i) for i in (*range(400), *range(1000, 1201), 5000)], "fp long, least long")
+        got = {r["fp"]: r["least"] for r in simhash.components(vertices, links).collect()}
+    finally:
+        simhash.HOT_ROWS = old
+    assert got == {i: 0 if i < 400 else 1000 if i < 5000 else 5000 for i in (*range(400), *range(1000, 1201), 5000)}
+
+
+def test_large_anchor_sets_are_compared_by_the_other_block():
+    rng = np.random.default_rng(12)
+    home = rng.integers(0, 1 << 41, 6_000, dtype=np.uint64) << np.uint64(23)  # one vector on the first block
+    flips = np.uint64(1) << rng.integers(23, 64, 3_000).astype(np.uint64)
+    came = np.unique(np.concatenate([home, home[:3_000] ^ flips]))
+    old, simhash.SET_ROWS = simhash.SET_ROWS, 16
+    try:
+        found = [np.stack(x) for x in simhash._split(home, came, 23, 3)]
+    finally:
+        simhash.SET_ROWS = old
+    one = {frozenset(e) for x in found for e in x.T.tolist()}
+    label = {}
+
+    def root(v):
+        while label.setdefault(v, v) != v:
+            v = label[v]
+        return v
+
+    for e in one:
+        a, b = e
+        label[root(a)] = root(b)
+    assert all(root(int(h)) == root(int(h ^ f)) for h, f in zip(home[:3_000], flips, strict=True))
