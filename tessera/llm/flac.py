@@ -5,13 +5,17 @@ frame, and a step of the loop is one sample (Rice codes depend on each other
 within a frame only). Every frame has a seek point, so frames are found without
 decoding their predecessors, and any sample can be reached by its offset.
 
-``decode_stream`` reads any FLAC stream of up to 8 channels one frame after the
-other: constant, verbatim, fixed and LPC subframes, both Rice codings with
-partitions and escapes, wasted bits and the three stereo modes. ``decode_batch``
-is the fast path for streams as ``encode_batch`` writes them.
-
-Null and empty payloads are encoded as their padding; equal payloads give equal
-streams. A damaged stream raises ``FlacError``; nothing is skipped.
+``encode_batch`` writes constant, verbatim, fixed and linear predictors, whichever
+is shortest. ``decode_batch`` is the fast path: one channel of 8 bits, frames of 192
+samples with a seek point each, fixed predictors and linear ones of any order, one
+Rice partition. ``decode_stream`` reads any FLAC stream of up to 8 channels one
+frame after the other: both Rice codings with partitions and escapes, wasted bits
+and the three stereo modes; ``pcm_blocks`` takes it for what the fast path does not read.
+
+Null and empty payloads are encoded as their padding, whole texts of any length;
+equal payloads give equal streams, so repeated rows give equal values, each for
+itself. Columns other than the named ones are not read, whatever their names. An
+empty table gives no rows. A damaged stream raises ``FlacError``; nothing is skipped.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ RATE = 8000
 PAD = 32
 HEAD = 8 + 34  # "fLaC", block header, STREAMINFO
 LANES = 4096  # frames that are coded together
+ORDER = 4  # of the linear predictors that are written
+PRECISION = 8  # bits of their coefficients
 
 
 class FlacError(ValueError):
@@ -96,26 +102,66 @@ def _frame_number(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _linear_predictors(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (n, ORDER) and shifts of each row's linear predictor: autocorrelation of the windowed row, Levinson-Durbin on all rows at once."""
+    window = 1 - ((2 * np.arange(BLOCK) - (BLOCK - 1)) / (BLOCK + 1)) ** 2
+    x = samples * window
+    lag = np.stack([(x[:, : BLOCK - i] * x[:, i:]).sum(axis=1) for i in range(ORDER + 1)], axis=1)
+    error = lag[:, 0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((len(x), ORDER))
+    for i in range(ORDER):
+        reflect = (lag[:, i + 1] - (a[:, :i] * lag[:, i:0:-1]).sum(axis=1)) / error
+        new = a.copy()
+        new[:, i] = reflect
+        new[:, :i] = a[:, :i] - reflect[:, None] * a[:, :i][:, ::-1]
+        a, error = new, np.maximum(error * (1 - reflect**2), 1e-9)
+    top = np.maximum(np.abs(a).max(axis=1), 1e-9)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(top)), 0, 14).astype(np.int64)
+    limit = 1 << (PRECISION - 1)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit - 1).astype(np.int64), shift
+
+
+def _zigzag(r: np.ndarray) -> np.ndarray:
+    return np.where(r >= 0, 2 * r, -2 * r - 1)
+
+
+def _rice(code: np.ndarray, coded: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A Rice parameter for each row by the mean of its codes, and the bits of each code."""
+    k = np.clip(np.floor(np.log2(np.maximum(mean, 1) * 0.6931) + 0.5), 0, 14).astype(np.int64)
+    return k, np.where(coded, (code >> k[:, None]) + 1 + k[:, None], 0)
+
+
 def _encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames of int16 rows of BLOCK samples: all bytes on end, and each frame's length."""
+    """Frames of int16 rows of BLOCK samples: all bytes on end, and each frame's length. Of fixed and linear predictors the shorter is taken."""
     n = len(samples)
     residuals = [samples, np.diff(samples, axis=1), np.diff(samples, 2, axis=1)]
     cost = np.stack([np.abs(r).sum(axis=1, dtype=np.int64) for r in residuals], axis=1)
     order = cost.argmin(axis=1)
     constant = (samples == samples[:, :1]).all(axis=1)
     order[constant] = 0
-    mean = np.maximum(cost[np.arange(n), order] * 2 / (BLOCK - order), 1)
-    k = np.clip(np.floor(np.log2(mean * 0.6931) + 0.5), 0, 14).astype(np.int64)
+    mean = cost[np.arange(n), order] * 2 / (BLOCK - order)
     code = np.zeros((n, BLOCK), np.int64)  # zigzag residuals; the warm-up samples' columns stay unused
     for o, r in enumerate(residuals):
         rows = np.flatnonzero(order == o)
-        r = r[rows].astype(np.int64)
-        code[rows, o:] = np.where(r >= 0, 2 * r, -2 * r - 1)
-    coded = np.arange(BLOCK)[None, :] >= order[:, None]
-    quotient = code >> k[:, None]
-    bits = np.where(coded, quotient + 1 + k[:, None], 0)
+        code[rows, o:] = _zigzag(r[rows].astype(np.int64))
+    column = np.arange(BLOCK)[None, :]
+    coded = column >= order[:, None]
+    k, bits = _rice(code, coded, mean)
     bits[constant] = 0
     total = bits.sum(axis=1)
+    extra = np.zeros(n, np.int64)  # bits of a linear predictor's description
+    coefficient, shift = _linear_predictors(samples)
+    wide = samples.astype(np.int64)
+    guess = sum(coefficient[:, i : i + 1] * wide[:, ORDER - 1 - i : BLOCK - 1 - i] for i in range(ORDER)) >> shift[:, None]
+    own = np.zeros((n, BLOCK), np.int64)
+    own[:, ORDER:] = _zigzag(wide[:, ORDER:] - guess)
+    own_k, own_bits = _rice(own, np.broadcast_to(column >= ORDER, own.shape), own.sum(axis=1) / (BLOCK - ORDER))
+    described = 9 + ORDER * PRECISION
+    linear = ~constant & (own_bits.sum(axis=1) + described + 8 * ORDER < total + 8 * order)
+    code[linear], k[linear], bits[linear], order[linear], extra[linear] = own[linear], own_k[linear], own_bits[linear], ORDER, described
+    coded = column >= order[:, None]
+    quotient = code >> k[:, None]
+    total = bits.sum(axis=1) + extra
     verbatim = ~constant & (total + 10 + 8 * order > 8 * BLOCK)
     digits, width = _frame_number(number)
     head = 5 + width
@@ -130,35 +176,39 @@ def _encode_frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray,
         buf[start[rows] + 4 + j] = digits[rows, j]
     buf[start + head - 1] = crc8(_right_aligned(buf, start, head - 1))
     at = start + head
-    buf[at] = np.where(constant, 0, np.where(verbatim, 2, (8 | order) << 1))
+    buf[at] = np.where(constant, 0, np.where(verbatim, 2, np.where(linear, (32 | ORDER - 1) << 1, (8 | order) << 1)))
     unsigned = samples.astype(np.int8).view(np.uint8)
     buf[at[constant] + 1] = unsigned[constant, 0]
     rows = np.flatnonzero(verbatim)
     buf[at[rows, None] + 1 + np.arange(BLOCK)] = unsigned[rows]
     rice = np.flatnonzero(~constant & ~verbatim)
-    for j in range(2):
+    for j in range(max(2, ORDER)):
         rows = rice[order[rice] > j]
         buf[at[rows] + 1 + j] = unsigned[rows, j]
     if len(rice):
+        # fields of at most 16 bits, by place, width and value: a predictor's description, the Rice parameter (method and partition order are zero bits), the codes
         base = (at + 1 + order)[rice] * 8
-        # the method and partition order are zero bits; the parameter stands in bits 6 to 9
-        first = base // 8
-        buf[first] = k[rice] >> 2
-        extra = (k[rice] & 3) << 6
+        mine = linear[rice]
+        lpc, place = rice[mine], base[mine]
+        fields = [(place, 4, np.full(len(lpc), PRECISION - 1)), (place + 4, 5, shift[lpc])]
+        fields += [(place + 9 + i * PRECISION, PRECISION, coefficient[lpc, i] & (1 << PRECISION) - 1) for i in range(ORDER)]
+        base = base + extra[rice]
+        fields.append((base + 6, 4, k[rice]))
         b, q, c, u = bits[rice], quotient[rice], code[rice], coded[rice]
         pos = base[:, None] + 10 + np.cumsum(b, axis=1) - b + q
         kk = np.broadcast_to(k[rice][:, None], pos.shape)
         low = (c & ((1 << kk) - 1)) | (1 << kk)
-        pos, kk, low = pos[u], kk[u], low[u]
-        value = low << (23 - (pos & 7) - kk)
-        byte = (pos >> 3) - int(first[0])
-        size = len(buf) - int(first[0]) + 3
+        pos = np.concatenate([pos[u], *(f[0] for f in fields)])
+        bit_count = np.concatenate([kk[u] + 1, *(np.full(len(f[0]), f[1]) for f in fields)])
+        low = np.concatenate([low[u], *(f[2] for f in fields)])
+        value = low << (24 - (pos & 7) - bit_count)
+        origin = int(pos.min() >> 3)
+        byte = (pos >> 3) - origin
+        size = len(buf) - origin + 3
         part = np.bincount(byte, value >> 16, size)
         part += np.bincount(byte + 1, (value >> 8) & 255, size)
         part += np.bincount(byte + 2, value & 255, size)
-        part = part[: len(buf) - int(first[0])].astype(np.uint8)
-        buf[int(first[0]) :] |= part
-        np.bitwise_or.at(buf, first + 1, extra.astype(np.uint8))
+        buf[origin:] |= part[: len(buf) - origin].astype(np.uint8)
     crc = crc16(_right_aligned(buf, start, length - 2))
     buf[start + length - 2] = crc >> 8
     buf[start + length - 1] = crc & 255
@@ -263,16 +313,37 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, length: np.ndarray, numbe
     rows = np.flatnonzero(kind == 1)
     out[rows] = signed[at[rows, None] + 1 + np.arange(BLOCK)]
     rice = np.flatnonzero((kind & 0x38) == 8)
-    if len(rice) + (kind < 2).sum() != len(kind):
+    linear = np.flatnonzero((kind & 0x20) == 0x20)
+    if len(rice) + len(linear) + (kind < 2).sum() != len(kind) or (kind[rice] & 7 > 4).any():
         raise FlacError("a subframe kind that this path does not read")
-    if len(rice):
-        order = (kind[rice] & 7).astype(np.int64)
+    if len(rice) + len(linear):
+        lpc = np.concatenate([np.zeros(len(rice), bool), np.ones(len(linear), bool)])
+        rice = np.concatenate([rice, linear])
+        order = np.where(lpc, (kind[rice] & 31) + 1, kind[rice] & 7).astype(np.int64)
         words = _words(buf)
+
+        def field(place: np.ndarray, count) -> np.ndarray:
+            """Bits at places, at most 32."""
+            place = np.minimum(place, 8 * len(words) - 8)
+            return ((words[place >> 3] << (place & 7).astype(np.uint64)) >> (64 - np.asarray(count)).astype(np.uint64)).astype(np.int64)
+
         p = (at[rice] + 1 + order) * 8
-        first = words[p >> 3] >> np.uint64(54)
-        if (first >> np.uint64(4)).any():
+        described = np.flatnonzero(lpc)
+        coefficient, shift = np.zeros((len(described), 32), np.int64), np.zeros(len(described), np.int64)
+        if len(described):
+            precision = field(p[described], 4) + 1
+            shift = field(p[described] + 4, 5)
+            if (precision == 16).any() or (shift >= 16).any():
+                raise FlacError("a predictor that this path does not read")
+            for i in range(int(order[described].max())):
+                c = field(p[described] + 9 + i * precision, precision)
+                c = c - ((c >> precision - 1) << precision)
+                coefficient[:, i] = np.where(i < order[described], c, 0)
+            p[described] += 9 + order[described] * precision
+        first = field(p, 10)
+        if (first >> 4).any():
             raise FlacError("a residual coding that this path does not read")
-        k = (first & np.uint64(15)).astype(np.int64)
+        k = first & 15
         if (k == 15).any():
             raise FlacError("an escaped partition")
         p = p + 10
@@ -305,8 +376,18 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, length: np.ndarray, numbe
             else:
                 residual[j] = value
                 p = after + k
+        if len(described):
+            mine, most = described, int(order[described].max())
+            x = np.zeros((BLOCK, len(mine)), np.int64)
+            for j in range(BLOCK):
+                guess = sum(coefficient[:, i] * x[j - 1 - i] for i in range(min(j, most))) >> shift if j else 0
+                value = residual[j, mine] + guess
+                if j < most:
+                    value = np.where(j < order[mine], signed[np.minimum(at[rice[mine]] + 1 + j, len(signed) - 1)], value)
+                x[j] = value
+            out[rice[mine]] = x.T.astype(np.int8)
         for o in range(5):
-            mine = np.flatnonzero(order == o)
+            mine = np.flatnonzero((order == o) & ~lpc)
             if not len(mine):
                 continue
             warm = signed[at[rice[mine]][:, None] + 1 + np.arange(o)].T.astype(np.int32)
@@ -491,16 +572,36 @@ def encode_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+def pcm_of(stream: bytes) -> bytes:
+    """All samples of any stream, channels in turn: unsigned bytes for 8 bits, else little-endian signed numbers of whole bytes."""
+    info, _ = _metadata(stream)
+    if info["channels"] == 1 and info["bits"] == 8:
+        try:
+            return decode_batch([stream])[0]
+        except FlacError:
+            pass  # it may be one that the fast path does not read: the slow one reads or raises
+    size = (info["bits"] + 7) // 8
+    out = []
+    for _, channels in decode_stream(stream):
+        x = np.array(channels, np.int64).T.ravel()
+        out.append((x + 128).astype(np.uint8).tobytes() if info["bits"] == 8 else x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
+    return b"".join(out)
+
+
 def pcm_blocks(media: DataFrame, id_col: str, per_block: int = 4096 // BLOCK * BLOCK) -> DataFrame:
-    """(id, block, sample_offset, n_samples, pcm): the decoded 8-bit blocks of each stream, by their sample offsets."""
+    """(id, block, sample_offset, n_samples, pcm): the decoded blocks of each stream of any kind, by their sample offsets; no row for a null stream."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[], [], [], [], []]
-        for key, payload in zip(batch.column(0).to_pylist(), decode_batch(batch.column(1).to_pylist()), strict=True):
-            for i, at in enumerate(range(0, len(payload), per_block)):
-                piece = payload[at : at + per_block]
-                for column, value in zip(out, (key, i, at, len(piece), piece), strict=True):
+        for key, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if stream is None:
+                continue
+            info, _ = _metadata(stream)
+            width, payload = info["channels"] * ((info["bits"] + 7) // 8), pcm_of(stream)
+            for i, at in enumerate(range(0, len(payload), per_block * width)):
+                piece = payload[at : at + per_block * width]
+                for column, value in zip(out, (key, i, at // width, len(piece) // width, piece), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["id", "block", "sample_offset", "n_samples", "pcm"])
 

@@ -459,3 +459,23 @@ def test_large_anchor_sets_are_compared_by_the_other_block():
         a, b = e
         label[root(a)] = root(b)
     assert all(root(int(h)) == root(int(h ^ f)) for h, f in zip(home[:3_000], flips, strict=True))
+
+
+def test_linear_predictors_and_foreign_streams(spark):
+    wave = bytes((128 + 90 * np.sin(np.arange(192 * 20) / 3)).astype(np.uint8))
+    stream = flac.encode_batch([wave])[0]
+    info, at = flac._metadata(stream)
+    kinds = [stream[at + int(o) + 6] >> 1 for o in info["seek"]["offset"]]
+    assert all(k == 32 | flac.ORDER - 1 for k in kinds) and len(stream) - at < 0.6 * len(wave)
+    assert flac.decode_batch([stream])[0] == wave
+    assert b"".join((np.array(x) + 128).astype(np.uint8).tobytes() for _, (x,) in flac.decode_stream(stream)) == wave
+    # without its seek table the fast path cannot read it
+    bare = b"fLaC\x80\0\0\x22" + stream[8:42] + stream[at:]
+    with pytest.raises(flac.FlacError):
+        flac.decode_batch([bare])
+    df = spark.createDataFrame([(1, bare), (2, stream), (3, None)], "id long, media binary").withColumn("pcm", F.lit(1)).withColumn("block", F.lit("b"))
+    got = {}
+    for r in flac.pcm_blocks(df, "id", 192).orderBy("id", "block").collect():
+        assert r["sample_offset"] == 192 * r["block"] and r["n_samples"] == 192
+        got[r["id"]] = got.get(r["id"], b"") + bytes(r["pcm"])
+    assert got == {1: wave, 2: wave}
