@@ -275,6 +275,35 @@ def _mixed(token: np.ndarray, group: np.ndarray) -> np.ndarray:
     return key ^ key >> np.uint64(32)
 
 
+_POWERS = [pow(int(K2), i, 1 << 64) for i in range(64)]
+
+
+def _hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings of an array: polynomials of their bytes, mixed."""
+    offset = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    size = np.diff(offset)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]].astype(np.uint64) + np.uint64(1)
+    most = int(size.max(initial=1))
+    power = np.array(_POWERS[:most], np.uint64) if most <= len(_POWERS) else np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(most - 1, K2)]))
+    at = np.arange(len(raw)) - np.repeat(offset[:-1] - offset[0], size)
+    total = np.zeros(len(size), np.uint64)
+    full = size > 0
+    if len(raw):
+        total[full] = np.add.reduceat(raw * power[at], (offset[:-1] - offset[0])[full])
+    total = (total ^ size.astype(np.uint64) * K4) * K1
+    return total ^ total >> np.uint64(29)
+
+
+def _word(text: str) -> int:
+    """The same for one word."""
+    raw = text.encode()
+    if len(raw) > len(_POWERS):
+        return int(_hashed(pa.array([text]))[0])
+    total = sum((b + 1) * p for b, p in zip(raw, _POWERS, strict=False))
+    total = ((total & ALL) ^ (len(raw) * int(K4) & ALL)) * int(K1) & ALL
+    return total ^ total >> 29
+
+
 def _ends(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether all of each group of consecutive values hold."""
     return np.logical_and.reduceat(x, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
@@ -296,7 +325,7 @@ class Tokens:
         split = pc.split_pattern(pa.array([b.text for b in blocks], pa.string()), " ")
         self.size = np.diff(split.offsets.to_numpy()).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        known = np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)
+        known = _hashed(coded.dictionary)
         self.words = self._named(known[coded.indices.to_numpy()] if len(known) else known, np.array([b.path for b in blocks], np.uint64))
         self.word_page = np.repeat(self.block_page, self.size)
         # places in the order of all tags and words
@@ -317,16 +346,17 @@ class Tokens:
         token[last] ^= K3  # the word ends its block
         # the second, third, ... of equal ones of a page are tokens of their own
         key = _mixed(token, np.repeat(self.block_page, self.size))
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         new = _runs(key[by])
-        nth = np.empty(len(token), np.uint64)
-        nth[by] = np.arange(len(token)) - np.repeat(new, np.diff(np.append(new, len(token))))
+        size = np.diff(np.append(new, len(token)))
+        again = np.flatnonzero(np.repeat(size > 1, size))
+        some = by[again]
+        some = some[np.lexsort((some, np.repeat(np.arange(len(new)), size)[again]))]  # each run in the page's order
+        nth = np.zeros(len(token), np.uint64)
+        nth[some] = again - np.repeat(new, size)[again]
         return token ^ nth * K4
 
 
-_word = xxhash.xxh64_intdigest
-
-
 def edge_tokens(block: Block) -> tuple[int, int]:
     """The tokens of a block's first and last word, as they are where they first occur on a page."""
     first, _, rest = block.text.partition(" ")

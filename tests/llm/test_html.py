@@ -3,6 +3,8 @@
 import html
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tessera.llm import html_extract as H
@@ -158,3 +160,14 @@ def test_classes_are_those_of_literal_vectors(spark, sf):
         expected = sorted(sorted(c) for c in classes.values() if len(c) >= 2)
         got = sorted(sorted(t["token"] & H.ALL for t in c["tokens"]) for c in shape["template"]["classes"])
         assert got == expected and n >= H.MIN_PAGES
+
+
+def test_words_have_one_hash_in_both_forms():
+    page = H.parse("<p>one</p><p>two three ünï 漢字 " + "x" * 500 + "</p><p>one</p><p>a b a b a b</p><p>" + "z" * 64 + " " + "z" * 65 + "</p>")
+    t = H.Tokens([page, page])
+    start = np.cumsum(t.size) - t.size
+    for i, b in enumerate(page.blocks):
+        if i != 2:  # the second "one" is a token of its own
+            assert H.edge_tokens(b) == (int(t.words[start[i]]), int(t.words[start[i] + t.size[i] - 1]))
+    half = len(t.words) // 2
+    assert (t.words[:half] == t.words[half:]).all() and len(set(t.words.tolist())) == half
