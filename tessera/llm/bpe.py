@@ -10,7 +10,10 @@ fails where a merge across the boundary would have come before one of the merges
 that built its sides. Only words with a failing pair are merged exactly.
 
 Null and empty texts have no tokens. Special-token strings in a text are special
-tokens, as the file says. All of every text is encoded.
+tokens, as the file says. All of every text is encoded, however long; of merges
+that tie the leftmost is made. Repeated rows are encoded each for itself. Columns
+other than id and text are not read, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations

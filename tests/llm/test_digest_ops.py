@@ -479,3 +479,10 @@ def test_linear_predictors_and_foreign_streams(spark):
         assert r["sample_offset"] == 192 * r["block"] and r["n_samples"] == 192
         got[r["id"]] = got.get(r["id"], b"") + bytes(r["pcm"])
     assert got == {1: wave, 2: wave}
+
+
+def test_bpe_odd_tables(odd):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    got = {r["doc_id"]: r for r in bpe.round_trip_digest(odd.filter("doc_id is not null"), "doc_id", "text", path).collect()}
+    assert got[1]["n_tokens"] == got[2]["n_tokens"] == got[3]["n_tokens"] == 0 and got[4]["ids_sha256"] == got[7]["ids_sha256"] and got[6]["n_tokens"] >= 60_000
+    assert bpe.round_trip_digest(odd, "doc_id", "text", path).count() == len(ODD) and bpe.round_trip_digest(odd.limit(0), "doc_id", "text", path).count() == 0

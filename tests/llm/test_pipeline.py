@@ -1,11 +1,12 @@
 """The pipeline: each stage's decisions on its own input, and clean documents kept."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tessera.llm import packing, pii, suffix_dedup
+from tessera.llm import langid, packing, pii, suffix_dedup
 
 
 def test_stages_and_run(spark, sf):
@@ -69,3 +70,75 @@ def test_redaction_of_a_clean_corpus_changes_little(spark, sf):
     model = pii.train(spark.read.parquet(f"{sf}/documents.parquet"), "text")
     same = pii.redact(docs, model, "text").select("doc_id", F.col("text").alias("new")).join(docs, "doc_id").filter("new = text").count()
     assert same == docs.count()
+
+
+def brute_groups(texts):
+    """Groups of near copies, by all pairs."""
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            a, b = sets[i], sets[j]
+            if i < j and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: find(i) for i in texts}
+
+
+def brute_cut(texts):
+    """Bytes of 50-byte strings that a smaller id has too go, by a dictionary of all strings."""
+    raw, first = {i: (t or "").encode() for i, t in texts.items()}, {}
+    for i in sorted(raw):
+        for at in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][at : at + 50], i)
+    out = {}
+    for i, r in raw.items():
+        gone = [False] * len(r)
+        for at in range(len(r) - 49):
+            if first[r[at : at + 50]] < i:
+                gone[at : at + 50] = [True] * 50
+        out[i] = bytes(b for b, g in zip(r, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_run_equals_a_brute_force_version(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 120")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = langid.train(docs.filter(~langid.held_out()), "text", "lang", "doc_id")
+    share = langid.language_share(model, list(texts.values()))
+    texts = {i: t for (i, t), s in zip(texts.items(), share, strict=True) if s >= P.MIN_SHARE and s > 0}
+    groups = brute_groups(texts)
+    texts = brute_cut({i: t for i, t in texts.items() if groups[i] == i})
+    whole = P.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in whole} == set(texts)
+    redacted = pii.train(spark.createDataFrame([(t,) for t in texts.values()], "text string"), "text")
+    expected = {i: len(pii.redact_text(t, cs).encode()) + 1 for (i, t), cs in zip(texts.items(), pii.find_batch(redacted, list(texts.values())), strict=True)}
+    got = {}
+    for r in whole:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == expected
+
+
+def test_stages_take_odd_rows(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the house of the water and the tree " * 12, "en", "s", 5), (3, "the house of the water and the tree " * 12, "en", "s", 5), (None, "the house and the river of the town " * 9, None, None, None), (4, "the same ann.lee@example.com " * 2_000, "en", "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("id", F.lit("x")).withColumn("score", F.lit(1)).withColumn("least", F.lit(2))
+    for name, stage in P.STAGES:
+        out = stage(spark, df, "")
+        kept = sorted((r["doc_id"] or 0 for r in out.select("doc_id").collect()))
+        assert set(kept) <= {0, 1, 2, 3, 4} and (name == "language" or {0, 3, 4} <= set(kept)), name
+        if name in ("repeated_strings", "personal_data"):
+            assert kept == [0, 1, 2, 3, 3, 4]
+        assert stage(spark, df.limit(0), "").count() == 0
+        if name != "packed":
+            assert out.columns == P.COLUMNS
