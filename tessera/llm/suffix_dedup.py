@@ -41,12 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, stored, utf8
+from tessera.llm.common import release, slices, stored, utf8
 
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams of a string
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20  # text whose anchors meet in one bucket, about
 SHARD_BYTES = 1 << 20  # context bytes of one suffix array
 NO_ID = np.int64(2**63 - 1)
@@ -194,7 +194,7 @@ def _unpacked(data: bytes) -> Block:
 
 
 def blocks_of(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> DataFrame:
-    """(block, data): rows packed into blocks of bounded bytes, in the shared folder."""
+    """(block, data, bytes): rows packed into blocks of bounded bytes, in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -208,11 +208,12 @@ def blocks_of(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> D
                         writer.write_batch(columns)
                     rest = sink.getvalue().to_pybytes()
                 data = _packed(part.column(0).to_pylist(), [utf8(t) for t in part.column(1).to_pylist()], rest)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())], ["block", "data", "bytes"])
                 number += 1
+                release()
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
-    return stored(chosen.mapInArrow(run, "block long, data binary"), "blocks")
+    return stored(chosen.mapInArrow(run, "block long, data binary, bytes long"), "blocks")
 
 
 def _slide(x: np.ndarray, span: int, best) -> np.ndarray:
@@ -229,7 +230,7 @@ def _slide(x: np.ndarray, span: int, best) -> np.ndarray:
 class Anchors:
     place: np.ndarray
     hash: np.ndarray
-    rank: np.ndarray  # of each gram of the block: what a string takes the least of
+    rank: np.ndarray  # what a string takes the least of
     least: np.ndarray  # of the string that starts at each place; 0 where none may start
 
 
@@ -255,9 +256,9 @@ def anchors(block: Block) -> Anchors:
     start = block.start
     strings[start[long]] += 1
     np.add.at(strings, start[long] + block.size[long] - LENGTH + 1, -1)
-    strings = np.cumsum(strings, dtype=np.int8)[:-1] > 0
-    rank, least = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    strings = np.cumsum(strings, dtype=np.int8, out=strings)[:-1].view(bool)
+    least = np.zeros(n, np.uint32)
+    places, hashes, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for a, b in _chunks(block):
         if b - a < LENGTH:
             continue
@@ -274,10 +275,11 @@ def anchors(block: Block) -> Anchors:
         # a gram is an anchor if it is the least of some string that holds it
         most = _slide(np.concatenate([np.zeros(SPAN - 1, np.uint32), low, np.zeros(SPAN - 1, np.uint32)]), SPAN, np.maximum)
         place = np.flatnonzero(most == r)
-        rank[a : a + len(r)], least[a : a + len(low)] = r, low
+        least[a : a + len(low)] = low
         places.append(place + a)
         hashes.append(h[place])
-    return Anchors(np.concatenate(places), np.concatenate(hashes), rank, least)
+        ranks.append(r[place])
+    return Anchors(np.concatenate(places), np.concatenate(hashes), np.concatenate(ranks), least)
 
 
 def _owner(block: Block, place: np.ndarray) -> np.ndarray:
@@ -309,6 +311,7 @@ def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.unique(anchors(_unpacked(data)).hash)
+                release()
                 if not len(h):
                     continue
                 bucket = _by_bucket(h, bits)
@@ -329,6 +332,7 @@ def shared_rows(rows: DataFrame, buckets: int) -> DataFrame:
     """(block, bucket, hashes): hashes that two blocks or more have, for each of these blocks."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         parts = [np.frombuffer(d, "<u4") for d in pdf["hashes"]]
         size = np.array([len(p) for p in parts])
         h, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
@@ -365,8 +369,7 @@ def contexts(block: Block, replies: list[tuple[int, bytes]], bits: int) -> Conte
         full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, "<u4") for b, d in replies])
         mine = (_by_bucket(h, bits).astype(np.uint64) << np.uint64(32)) | _short(h, bits)
         shared |= np.isin(mine, full)
-    place, h = found.place[shared], h[shared]
-    rank = found.rank[place]
+    place, h, rank = found.place[shared], h[shared], found.rank[shared]
     low, high = np.full(len(place), -1), np.full(len(place), -1)
     for back in range(SPAN):
         at = place - back
@@ -418,6 +421,7 @@ def context_rows(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data, replies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                release()
                 block = _unpacked(data)
                 c = contexts(block, [(r["bucket"], r["hashes"]) for r in replies or []], bits)
                 group, first = context_groups(block, c)
@@ -486,6 +490,7 @@ def answer_rows(rows: DataFrame, buckets: int) -> DataFrame:
     """(block, runs): for the contexts of each block, the runs of strings that a smaller id has."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         entries = [_entries(e) for e in pdf["entries"]]
         texts: list[bytes] = []
         for e, data in zip(entries, pdf["bytes"], strict=True):
@@ -528,7 +533,7 @@ def removed_mask(block: Block, replies: list[tuple[int, bytes]], answers: list[b
 def _marked_blocks(df: DataFrame, id_col: str, text_col: str, others: list[str]) -> tuple[DataFrame, int]:
     """(block, data, replies, answers) of all blocks, and the bits of a bucket's name."""
     blocks = blocks_of(df, id_col, text_col, others)
-    packed = blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
+    packed = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 << max(3, int(-(-3 * packed // BUCKET_BYTES)).bit_length())
     bits = buckets.bit_length() - 1
     shared = shared_rows(anchor_rows(blocks, bits), buckets)
@@ -545,9 +550,12 @@ def _cut(df: DataFrame, id_col: str, text_col: str, emit, schema, others: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, replies, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                release()
                 block = _unpacked(data)
                 gone = removed_mask(block, [(r["bucket"], r["hashes"]) for r in replies or []], answers or [], bits)
                 yield emit(block, gone)
+                del block, gone
+                release()
 
     return marked.mapInArrow(run, schema)
 
