@@ -391,32 +391,44 @@ class Translation:
 
     def _joined(self, equal, fixed) -> DataFrame:
         todo = sorted(self.patterns, key=lambda a: (-fixed[a], int(a[1:])))
-        done = {todo[0]}
-        frame = self.patterns[todo[0]]
-        rest, used = todo[1:], set()
-        frame = self._apply(frame, done, equal, used)
+        used = set()
+        frame, done, rest = self._linked(todo[0], todo[1:], equal, used)
         while rest:
-            linked = [a for a in rest if any(a in s and (s - {a}) & done for s, _ in equal)]
             near = [(a, i) for i, (x, y, *_) in self.spatial.items() if ("f", i) not in used for a, other in ((x, y), (y, x)) if a in rest and other in done]
-            nxt = linked[0] if linked else near[0][0] if near else rest[0]
+            nxt = near[0][0] if near else rest[0]
             rest.remove(nxt)
-            done.add(nxt)
-            on = [(i, c) for i, (s, c) in enumerate(equal) if i not in used and s <= done and nxt in s and len(s) > 1]
-            used |= {i for i, _ in on}
-            if on:
-                frame = frame.join(self.patterns[nxt], [c for _, c in on], "inner")
-            elif near:
-                # boxes must meet for the condition to hold: an equi-join on grid cells finds them
+            if near:
+                # boxes must meet for the condition to hold: an equi-join on grid cells finds them, after all that narrows the other side
                 i = near[0][1]
                 used.add(("f", i))
                 x, y, name, margin = self.spatial[i]
                 geometry = lambda a: f"{a}_object_geometry"
-                frame = geo.spatial_join(frame, self.patterns[nxt], geometry(y if nxt == x else x), geometry(nxt), name, margin, self.filters[i][1])
+                other, more, rest = self._linked(nxt, rest, equal, used)
+                frame = geo.spatial_join(frame, other, geometry(y if nxt == x else x), geometry(nxt), name, margin, self.filters[i][1])
+                done |= more
             else:
                 frame = frame.crossJoin(self.patterns[nxt])
-            frame = self._apply(frame, done, equal, used)
+                done.add(nxt)
+            frame, done, rest = self._linked(None, rest, equal, used, self._apply(frame, done, equal, used), done)
         return frame
 
+    def _linked(self, first: str | None, rest: list[str], equal, used, frame: DataFrame | None = None, done: set[str] = frozenset()) -> tuple[DataFrame, set[str], list[str]]:
+        """A pattern, or a frame of those done, with all others that equal terms link to it; and the patterns that are left."""
+        rest = list(rest)
+        if first is not None:
+            done = {first}
+            frame = self._apply(self.patterns[first], done, equal, used)
+        while linked := [a for a in rest if any(a in s and (s - {a}) & done for s, _ in equal)]:
+            nxt = linked[0]
+            rest.remove(nxt)
+            done = done | {nxt}
+            on = [(i, c) for i, (s, c) in enumerate(equal) if i not in used and s <= done and nxt in s and len(s) > 1]
+            used |= {i for i, _ in on}
+            # sides of a spatial join may be any number of rows in small files: none is sent through the driver
+            side = self.patterns[nxt].hint("merge") if self.spatial else self.patterns[nxt]
+            frame = self._apply(frame.join(side, [c for _, c in on], "inner"), done, equal, used)
+        return frame, done, rest
+
     def _apply(self, frame, done, equal, used):
         for i, (s, c) in enumerate(equal):
             if i not in used and s <= done:
