@@ -21,7 +21,7 @@ def many(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["geo_join", "geo_filter_join"])
+@pytest.mark.parametrize("name", ["geo_join", "geo_filter_join", "geo_filter_distance_join"])
 def test_many_rows_of_small_files_do_not_pass_the_driver(spark, many, name):
     df = catalogue.queries()[name](spark, many)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
