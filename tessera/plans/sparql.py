@@ -6,6 +6,7 @@ filters, LIMIT. Everything else raises with the part that is not supported.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -352,6 +353,38 @@ def _conjuncts(e) -> list:
     return _conjuncts(e.left) + _conjuncts(e.right) if isinstance(e, Binary) and e.op == "&&" else [e]
 
 
+TASK_PAIRS = 4_000_000  # rows that one task makes in a join of objects, about
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]]) -> DataFrame:
+    """Equi-join on terms that many rows of both sides may have, as objects do: a term with more pairs than a task should make is dealt to several.
+
+    Pairs are counted by term first. Of a crowded term, the rows of the larger side are dealt by their hash, and those of the other side go
+    with each part. However small the files are, a task makes a few times TASK_PAIRS rows at most, unless rows are equal in all columns.
+    """
+    names = [f"_k{j}" for j in range(len(keys))]
+    counted = lambda df, side, n: df.groupBy(*[k[side].alias(name) for k, name in zip(keys, names, strict=True)]).agg(F.count("*").alias(n))
+    pairs = F.col("_n").cast("double") * F.col("_m")
+    both = counted(left, 0, "_n").join(counted(right, 1, "_m"), names)
+    found = both.agg(F.sum(pairs).alias("pairs"), F.sum("_n").alias("n"), F.sum("_m").alias("m"), F.collect_list(F.when(pairs > TASK_PAIRS, F.struct(*names, F.ceil(pairs / TASK_PAIRS).cast("int").alias("_parts")))).alias("crowded")).first()
+    on = [x == y for x, y in keys]
+    if not found["crowded"]:
+        return left.join(right, on, "inner")
+    schema = ", ".join(f"{n} string" for n in names)
+    parts = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in found["crowded"]], f"{schema}, _parts int"))
+    tasks = min(10_000, math.ceil(found["pairs"] / TASK_PAIRS))
+
+    def dealt(df: DataFrame, side: int, part: str) -> DataFrame:
+        few = (found["n"] < found["m"]) == (side == 0)
+        more = F.coalesce("_parts", F.lit(1))
+        number = F.explode(F.sequence(F.lit(0), more - 1)) if few else F.pmod(F.xxhash64(*df.columns), more).cast("int")
+        out = df.join(parts, [k[side] == F.col(n) for k, n in zip(keys, names, strict=True)], "left").withColumn(part, number).drop("_parts", *names)
+        return out.repartition(tasks, *[k[side] for k in keys], part)
+
+    pairs_of = dealt(left, 0, "_left").join(dealt(right, 1, "_right").hint("merge"), [*on, F.col("_left") == F.col("_right")], "inner")
+    return pairs_of.drop("_left", "_right")
+
+
 class Translation:
     """A query over a triples frame. Patterns are joined most constants first and connected wherever they can be."""
 
@@ -361,6 +394,7 @@ class Translation:
         self.partitioned = S.PARTITION in triples.columns
         self.bindings: dict[str, Binding] = {}
         equal: list[tuple[set[str], Column]] = []
+        self.terms: list[tuple[Binding, Binding]] = []  # that are equal, in the same order
         self.patterns: dict[str, DataFrame] = {}
         fixed: dict[str, int] = {}
         for n, triple in enumerate(query.triples):
@@ -372,6 +406,7 @@ class Translation:
                     first = self.bindings.setdefault(node.name, mine)
                     if first is not mine:
                         equal.append(({first.alias, alias}, first.compare() == mine.compare()))
+                        self.terms.append((first, mine))
                 else:
                     fixed[alias] += 2 if position == "subject" else 1
                     tests.append(self._test(alias, position, node))
@@ -426,7 +461,12 @@ class Translation:
             used |= {i for i, _ in on}
             # sides of a spatial join may be any number of rows in small files: none is sent through the driver
             side = self.patterns[nxt].hint("merge") if self.spatial else self.patterns[nxt]
-            frame = self._apply(frame.join(side, [c for _, c in on], "inner"), done, equal, used)
+            met = [self.terms[i] for i, _ in on]
+            if all(b.column == "object" for pair in met for b in pair):
+                frame = dealt_join(frame, side, [(x, y) if b.alias == nxt else (y, x) for a, b in met for x, y in [(a.compare(), b.compare())]])
+            else:
+                frame = frame.join(side, [c for _, c in on], "inner")
+            frame = self._apply(frame, done, equal, used)
         return frame, done, rest
 
     def _apply(self, frame, done, equal, used):
