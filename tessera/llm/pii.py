@@ -7,7 +7,9 @@ candidate becomes a row of format features (lengths, character classes, check
 digits, separators) and context features (the words and signs around it). Boosted
 regression trees on the logistic loss score it. For each kind a threshold is
 calibrated on rows the trees have not seen: the least one that reaches the asked
-precision. Spans above it are selected greedily by score, without overlaps; base
+precision. These rows are all raw base matches of the whole corpus that are unlike
+those fitted on, counted by kind and step of the score, and held-out examples.
+Spans above it are selected greedily by score, without overlaps; base
 spans always stay and come first.
 
 The trees learn from a bounded sample of the corpus, taken by hash (raw base
@@ -41,6 +43,7 @@ KINDS = (*BASE, "id", "secret")
 SAMPLE_ROWS = 4_000  # different texts with digits or @ that the trees are fitted on, about; those with the least hash
 EXAMPLES = 16_000  # base matches of these texts that are fitted on, about; those with the least hash
 PRECISION = 0.98
+STEPS = 4_096  # of the scores that thresholds are chosen from
 CONTEXT = 24  # characters on each side that features look at
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -213,18 +216,26 @@ class Booster:
             score += tree[2][self._leaf(tree, b, self.depth)]
         return 1 / (1 + np.exp(-score))
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray, precision: float) -> Booster:
-        """For each kind the least threshold whose selected rows reach the precision; 0.5 at least."""
-        p = self.predict(x)
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """The step of each row's score, from 0 to STEPS."""
+        return (self.predict(x) * STEPS).astype(np.int64)
+
+    def calibrate(self, kind: np.ndarray, step: np.ndarray, good: np.ndarray, total: np.ndarray, precision: float) -> Booster:
+        """For each kind the least step with rows from which on they reach the precision; 0.5 at least. good and total are rows (or their weight) of a kind and step."""
         for n, k in enumerate(KINDS):
-            mine = np.flatnonzero(kind == n)
-            by = mine[np.argsort(-p[mine], kind="stable")]
-            good = np.cumsum(y[by]) / np.arange(1, len(by) + 1)
-            fine = np.flatnonzero(good >= precision)
-            self.threshold[k] = max(0.5, float(p[by[fine[-1]]])) if len(fine) else 2.0
+            mine = kind == n
+            g, t = (np.bincount(step[mine], w[mine], STEPS + 1) for w in (good, total))
+            above = [np.cumsum(v[::-1])[::-1] for v in (g, t)]
+            fine = np.flatnonzero((t > 0) & (above[0] >= precision * above[1]))
+            self.threshold[k] = max(0.5, float(fine[0] / STEPS)) if len(fine) else 2.0
         return self
 
 
+def digest(row: np.ndarray) -> bytes:
+    """Names a row of features."""
+    return hashlib.md5(row.tobytes()).digest()
+
+
 def _examples(n: int = 3_000, seed: int = 7) -> tuple[list[list[float]], list[int]]:
     """Rows and labels written by format grammars: personal data in loose forms, and what looks like it."""
     r = random.Random(seed)
@@ -267,9 +278,10 @@ def _examples(n: int = 3_000, seed: int = 7) -> tuple[list[list[float]], list[in
 
 
 def train(df: DataFrame, text_col: str, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, rounds: int = 60) -> Booster:
-    """Fit the trees on about sample_rows different texts with digits or @ and on the grammar's examples, and calibrate the thresholds.
+    """Fit the trees on about sample_rows different texts with digits or @ and on the grammar's examples, and calibrate the thresholds on all texts.
 
-    Texts and matches are taken by hash thresholds: the model depends on the rows, not on files, tasks or their order.
+    Texts and matches to fit on are taken by hash thresholds: the model depends on the rows, not on files, tasks or their order.
+    In the calibration all matches of the corpus together weigh as much as those of the sample that are not fitted on.
     """
     rows = df.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     texts = below(rows, "h", sample_rows).groupBy("h").agg(F.min("text").alias("text")).select("text")
@@ -289,9 +301,33 @@ def train(df: DataFrame, text_col: str, sample_rows: int = SAMPLE_ROWS, precisio
     x = np.array([*gx, *map(list, found["x"])], np.float64)
     y = np.array([*gy, *found["y"]], np.float64)
     # a third is kept for calibration, by the row's own digest: the split does not depend on the order of rows
-    third = np.array([hashlib.md5(r.tobytes()).digest()[0] % 3 == 0 for r in x])
+    named = [digest(r) for r in x]
+    third = np.array([d[0] % 3 == 0 for d in named])
     model = Booster().fit(x[~third], y[~third], rounds)
-    return model.calibrate(x[third], y[third], x[third][:, 0].astype(int), precision)
+    every = tally(df, model, text_col, {d for d, t in zip(named, third, strict=True) if not t}).toPandas()
+    weight = third[len(gx) :].sum() / max(1, every["total"].sum())
+    own = np.flatnonzero(third[: len(gx)])
+    joined = lambda mine, of: np.concatenate([mine, of.to_numpy()])
+    return model.calibrate(joined(x[own, 0].astype(np.int64), every["kind"]), joined(model.steps(x[own]), every["step"]), joined(y[own], every["good"] * weight), joined(np.ones(len(own)), every["total"] * weight), precision)
+
+
+def tally(df: DataFrame, model: Booster, text_col: str, fitted: set[bytes]) -> DataFrame:
+    """(kind, step, good, total): raw base matches of all rows by kind and step of the score, and how many pass their check; without those whose features are fitted on."""
+    shipped = df.sparkSession.sparkContext.broadcast((model, fitted))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        trees, seen = shipped.value
+        found = [(features(t, c), c.base) for t in batch.column(0).to_pylist() for c in base_matches(t)]
+        x = np.array([f for f, _ in found], np.float64).reshape(len(found), -1)
+        new = np.array([digest(r) not in seen for r in x], bool)
+        if new.any():
+            key = x[new, 0].astype(np.int64) * (STEPS + 1) + trees.steps(x[new])
+            keys, at = np.unique(key, return_inverse=True)
+            good = np.bincount(at, np.array([b for _, b in found], np.int64)[new]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys // (STEPS + 1), keys % (STEPS + 1), good, np.bincount(at))], ["kind", "step", "good", "total"])
+
+    parts = map_batches(df.filter(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text")), run, "kind long, step long, good long, total long")
+    return parts.groupBy("kind", "step").agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
 
 
 def select(text: str, found: list[Candidate], score: np.ndarray, threshold: dict[str, float]) -> list[Candidate]:

@@ -117,3 +117,33 @@ def test_the_model_does_not_depend_on_the_order_of_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one, two = (pii.train(d, "text", sample_rows=50, rounds=5) for d in (docs, docs.repartition(7).orderBy(F.desc("doc_id"))))
     assert one.threshold == two.threshold and all((a == b).all() for s, t in zip(one.trees, two.trees, strict=True) for a, b in zip(s, t, strict=True))
+
+
+def test_thresholds_come_from_all_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.limit(3)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    seen = []
+    taken, tally = pii.Booster.calibrate, pii.tally
+    monkeypatch.setattr(pii.Booster, "calibrate", lambda self, *a: seen.append(a) or taken(self, *a))
+    monkeypatch.setattr(pii, "tally", lambda *a: seen.append(a) or tally(*a))
+    model = pii.train(docs, "text", sample_rows=5, rounds=5)
+    # each match of each row counts, copies too, whether or not its text was sampled
+    matches = [(t, c) for r in docs.collect() if (t := r["text"]) for c in pii.base_matches(t)]
+    x = np.array([pii.features(t, c) for t, c in matches], np.float64)
+    every = tally(docs, model, "text", set()).toPandas()
+    assert every["total"].sum() == len(matches) > 50 and every["good"].sum() == sum(c.base for _, c in matches)
+    got = {(r.kind, r.step): (r.good, r.total) for r in every.itertuples()}
+    steps = model.steps(x)
+    for n, s in set(zip(x[:, 0].astype(int).tolist(), steps.tolist(), strict=True)):
+        mine = [c.base for (_, c), k, v in zip(matches, x[:, 0], steps, strict=True) if k == n and v == s]
+        assert got[(n, s)] == (sum(mine), len(mine))
+    assert tally(docs, model, "text", {pii.digest(r) for r in x}).count() == 0
+    # calibrate gets all that the trees were not fitted on
+    (frame, _, _, fitted), (kind, step, good, total, precision) = seen
+    unseen = [pii.digest(r) not in fitted for r in x]
+    assert frame is docs and sum(unseen) > 50
+    assert set(zip(kind.tolist(), step.tolist(), strict=True)) >= set(zip(x[unseen, 0].astype(int).tolist(), steps[unseen].tolist(), strict=True))
+    for n, k in enumerate(pii.KINDS):
+        mine = kind == n
+        fine = [s for s in sorted(set(step[mine].tolist())) if good[mine & (step >= s)].sum() >= precision * total[mine & (step >= s)].sum() - 1e-9]
+        assert model.threshold[k] == (max(0.5, fine[0] / pii.STEPS) if fine else 2.0)
