@@ -55,49 +55,59 @@ NO_ID = np.int64(2**63 - 1)
 # ---- suffix arrays ----------------------------------------------------------------------------------------------
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each place, the first one highest; zeros past the end."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray((len(text),), "<u8", padded, 0, (1,)).byteswap()
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffix array of a text, by Larsson-Sadakane refinement.
 
     Ranks by 8 bytes are doubled in reach; each round sorts only the groups that
-    are not single yet, by the rank of the place h further on.
+    are not single yet, by the rank of the place h further on. Group and that rank
+    are one number, so each sort is of plain numbers and need not be stable.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.ndarray((n,), "<u8", padded, 0, (1,)).byteswap()
-    order = np.argsort(words, kind="stable")
-    first = np.ones(n, bool)
-    first[1:] = words[order[1:]] != words[order[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    words = _words(text)
+    order = np.argsort(words)
+    words = words[order]
+    first = np.ones(n + 1, bool)
+    first[1:-1] = words[1:] != words[:-1]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first[:-1], np.arange(n, dtype=np.int32), np.int32(0)))
+    open_ = np.arange(n)
     step = 8
-    while len(open_ := np.flatnonzero(~(first & np.append(first[1:], True)))):
-        at = order[open_]  # places whose group has several
-        group, follow = rank[at], at + step
+    while len(open_ := open_[~(first[open_] & first[open_ + 1])]):  # places whose group has several
+        at = order[open_]
+        follow = at + step
         tail = np.where(follow < n, rank[np.minimum(follow, n - 1)], n - 1 - follow)  # past the end: the shorter one first
-        by = np.lexsort((tail, group))
-        at, group, tail = at[by], group[by], tail[by]
+        key = (rank[at].astype(np.int64) << 32) + (tail + step)
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[open_] = at
         new_first = np.ones(len(open_), bool)
-        new_first[1:] = (group[1:] != group[:-1]) | (tail[1:] != tail[:-1])
+        new_first[1:] = key[1:] != key[:-1]
         first[open_] = new_first
         rank[at] = np.maximum.accumulate(np.where(new_first, open_, 0))
         step *= 2
     return order
 
 
-LANE = 256  # places that Kasai's method goes through one after the other
+LANE = 64  # places that Kasai's method goes through one after the other
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np.ndarray:
     """Kasai's method: the common prefix (at most cap) of each suffix of the order with the one before it.
 
     The text is cut into lanes; all lanes go one place a step, each keeping its
-    prefix less one from step to step.
+    prefix less one from step to step, and compare 8 bytes at once.
     """
     n = len(order)
     lcp = np.zeros(n, np.int64)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
+    words = _words(text).byteswap()  # the first byte lowest
     lanes = np.arange(0, n, LANE)
     h = np.zeros(len(lanes), np.int64)
     for step in range(min(LANE, n)):
@@ -109,10 +119,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> n
         room = np.minimum(cap, n - np.maximum(place, before))
         grow = np.flatnonzero((r > 0) & (now < room))
         while len(grow):
-            grow = grow[text[place[grow] + now[grow]] == text[before[grow] + now[grow]]]
-            now[grow] += 1
-            grow = grow[now[grow] < room[grow]]
-        lcp[r] = now
+            differ = words[place[grow] + now[grow]] ^ words[before[grow] + now[grow]]
+            now[grow] += np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3  # bytes below the lowest bit that differs
+            grow = grow[(differ == 0) & (now[grow] < room[grow])]
+        now = np.minimum(now, room)
+        lcp[r] = np.where(r > 0, now, 0)
         h[: len(place)] = now
     return lcp
 
@@ -234,7 +245,7 @@ class Anchors:
     least: np.ndarray  # of the string that starts at each place; 0 where none may start
 
 
-CHUNK = 1 << 20  # bytes whose grams are hashed together
+CHUNK = 1 << 16  # bytes whose grams are hashed together: what a core's cache holds
 
 
 def _chunks(block: Block) -> Iterator[tuple[int, int]]:
@@ -292,16 +303,30 @@ def _by_bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def local_shared(block: Block, place: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Hashes that two documents of different ids of the block have."""
-    doc = block.ids[_owner(block, place)]
-    by = np.lexsort((doc, h))
-    hs, ds = h[by], doc[by]
-    first = np.ones(len(hs), bool)
-    first[1:] = hs[1:] != hs[:-1]
-    at = np.flatnonzero(first)
-    last = np.append(at[1:], len(hs)) - 1
-    return hs[at[ds[at] != ds[last]]] if len(at) else hs
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted: numpy's unique() hashes them one by one."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
+def shared_anchors(block: Block, found: Anchors, replies: list[tuple[int, bytes]], bits: int) -> np.ndarray:
+    """Which anchors two documents of different ids have: of the block, or of another one by its replies."""
+    shared = np.zeros(len(found.hash), bool)
+    if not len(shared):
+        return shared
+    by = np.argsort(found.hash)
+    h, ids = found.hash[by], block.ids[_owner(block, found.place)][by]
+    same = h[1:] == h[:-1]
+    group = np.concatenate([[0], np.cumsum(~same)])
+    several = np.zeros(group[-1] + 1, bool)
+    several[group[1:][same & (ids[1:] != ids[:-1])]] = True
+    hit = several[group]
+    if replies:
+        full = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, "<u4") for b, d in replies]))
+        mine = (_by_bucket(h, bits).astype(np.uint64) << np.uint64(32)) | _short(h, bits)  # in the order of h
+        hit |= full[np.minimum(np.searchsorted(full, mine), len(full) - 1)] == mine
+    shared[by] = hit
+    return shared
 
 
 def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
@@ -310,7 +335,7 @@ def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.unique(anchors(_unpacked(data)).hash)
+                h = _distinct(anchors(_unpacked(data)).hash)
                 release()
                 if not len(h):
                     continue
@@ -349,6 +374,9 @@ def shared_rows(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, "block long, bucket long, hashes binary")
 
 
+LEADS = [bytes((i,)) for i in range(256)]
+
+
 @dataclass
 class Contexts:
     """The contexts of a block: where they are and which are equal."""
@@ -363,36 +391,28 @@ class Contexts:
 def contexts(block: Block, replies: list[tuple[int, bytes]], bits: int) -> Contexts:
     """The strings whose anchor is shared: for each such anchor the run of strings of which it is the least gram."""
     found = anchors(block)
-    h = found.hash
-    shared = np.isin(h, local_shared(block, found.place, h))
-    if replies:
-        full = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(d, "<u4") for b, d in replies])
-        mine = (_by_bucket(h, bits).astype(np.uint64) << np.uint64(32)) | _short(h, bits)
-        shared |= np.isin(mine, full)
-    place, h, rank = found.place[shared], h[shared], found.rank[shared]
-    low, high = np.full(len(place), -1), np.full(len(place), -1)
+    shared = shared_anchors(block, found, replies, bits)
+    place, rank = found.place[shared], found.rank[shared]
+    least = np.concatenate([np.zeros(SPAN - 1, np.uint32), found.least, np.zeros(1, np.uint32)])  # no rank is 0
+    near, far = np.full(len(place), SPAN, np.uint8), np.zeros(len(place), np.uint8)
     for back in range(SPAN):
-        at = place - back
-        ok = (at >= 0) & (at < len(found.least))
-        ok[ok] = found.least[at[ok]] == rank[ok]
-        high = np.where(ok & (high < 0), at, high)
-        low = np.where(ok, at, low)
-    return Contexts(low, high - low + LENGTH, _owner(block, place), h, place - low)
+        ok = least[place + (SPAN - 1 - back)] == rank
+        near = np.minimum(near, np.where(ok, np.uint8(back), np.uint8(SPAN)))
+        far = np.where(ok, np.uint8(back), far)
+    low, high = place - far, place - near
+    return Contexts(low, high - low + LENGTH, _owner(block, place), found.hash[shared], place - low)
 
 
 def context_groups(block: Block, c: Contexts) -> tuple[np.ndarray, np.ndarray]:
     """(group, first): the number of each context's class of equal contexts, and one context of each class."""
     text = block.text.tobytes()
     known: dict[bytes, int] = {}
-    group = np.empty(len(c.start), np.int64)
-    first: list[int] = []
-    for i, (a, s, k, lead) in enumerate(zip(c.start.tolist(), c.size.tolist(), c.key.tolist(), c.lead.tolist(), strict=True)):
-        name = text[a : a + s] + bytes((lead,)) + k.to_bytes(8, "little")
-        g = known.setdefault(name, len(known))
-        if g == len(first):
-            first.append(i)
-        group[i] = g
-    return group, np.array(first, np.int64)
+    # the anchor is where the lead says, so its hash need not be compared
+    names = (text[a:b] + LEADS[lead] for a, b, lead in zip(c.start.tolist(), (c.start + c.size).tolist(), c.lead.tolist(), strict=True))
+    group = np.fromiter((known.setdefault(name, len(known)) for name in names), np.int64, len(c.start))
+    fresh = np.ones(len(group), bool)
+    fresh[1:] = group[1:] > np.maximum.accumulate(group)[:-1]
+    return group, np.flatnonzero(fresh)
 
 
 ENTRY = np.dtype([("key", "<u8"), ("name", "<u4"), ("least", "<i8"), ("most", "<i8"), ("lead", "u1"), ("size", "u1")])

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import queries
@@ -88,3 +90,47 @@ def test_suffix_order_and_common_prefixes():
         for a, b, h in zip(order.tolist(), order.tolist()[1:], lcp.tolist()[1:], strict=False):
             x, y = raw[a : a + 50], raw[b : b + 50]
             assert h == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+
+
+def test_the_least_gram_may_come_again_in_a_string():
+    """Contexts are of one class if their bytes and the place of their anchor are the same, in a periodic text too."""
+    raw = [("abcd" * 40).encode(), b"q" * 60 + ("abcd" * 30).encode(), bytes(range(60, 120)) * 3]
+    block = S._unpacked(S._packed([5, 3, 9], raw))
+    c = S.contexts(block, [], 5)
+    text = block.text.tobytes()
+    names = [(text[a : a + s], x) for a, s, x in zip(c.start.tolist(), c.size.tolist(), c.lead.tolist(), strict=True)]
+    group, first = S.context_groups(block, c)
+    assert len(first) == len(set(names)) and [names[first[g]] for g in group.tolist()] == names
+
+
+def _cpu(fn, times=3):
+    took = []
+    for _ in range(times):
+        start = time.process_time()
+        fn()
+        took.append(time.process_time() - start)
+    return min(took)
+
+
+class _Caught:
+    """Takes the function that a stage would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_work_on_a_block_is_about_a_sort_of_its_places():
+    """CPU time in units of one merge sort of the places, which moves with the machine."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    docs = [" ".join(rng.choice(words) for _ in range(400)).encode() for _ in range(800)]
+    docs += [docs[i] + docs[i + 1][:700] for i in range(400)]
+    data = S._packed(list(range(len(docs))), docs)
+    text = S._unpacked(data).text
+    part, share = text[: 1 << 20], (1 << 20) / len(text)
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+    places = np.random.default_rng(1).permutation(len(part))
+    unit = _cpu(lambda: np.argsort(places, kind="stable"))
+    assert _cpu(lambda: list(S.anchor_rows(_Caught(), 5).run(iter([batch])))) * share < 0.23 * unit
+    assert _cpu(lambda: S.suffix_order(part)) < 1.4 * unit
