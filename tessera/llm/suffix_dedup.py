@@ -467,43 +467,62 @@ def context_rows(blocks: DataFrame, bits: int) -> DataFrame:
     return blocks.mapInArrow(run, "bucket long, block long, entries binary, bytes binary")
 
 
-def least_ids(keys: np.ndarray, lead: np.ndarray, texts: list[bytes], least: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For each context the runs (from, to, id) of its strings and their least ids over all given contexts."""
+@dataclass
+class Runs:
+    """Of each class of equal contexts the runs of its strings that one least id has: those from edge[class] to edge[class + 1]."""
+
+    group: np.ndarray  # the class of each context
+    edge: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    least: np.ndarray
+
+
+def least_runs(keys: np.ndarray, lead: np.ndarray, texts: list[bytes], least: np.ndarray) -> Runs:
+    """The runs of the strings of given contexts and their least ids over all of them."""
     # equal contexts first: one each, with the least id of all
-    known: dict[tuple, int] = {}
-    same = np.empty(len(texts), np.int64)
-    for i, (k, l, t) in enumerate(zip(keys.tolist(), lead.tolist(), texts, strict=True)):
-        same[i] = known.setdefault((k, l, t), len(known))
+    known: dict[bytes, int] = {}
+    same = np.fromiter((known.setdefault(t + LEADS[x], len(known)) for t, x in zip(texts, lead.tolist(), strict=True)), np.int64, len(texts))
     low = np.full(len(known), NO_ID)
     np.minimum.at(low, same, least)
     one = np.zeros(len(known), np.int64)
     one[same] = np.arange(len(texts))
-    key = keys[one]
-    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[back] > 1)
-    runs: list[list[tuple[int, int, int]]] = [[(0, len(texts[one[g]]) - LENGTH, int(low[g]))] for g in range(len(known))]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))[one]
+    by = np.argsort(keys[one])
+    alone = np.ones(len(known), bool)  # the anchor has no other context
+    again = keys[one][by][1:] == keys[one][by][:-1]
+    alone[by[1:][again]] = alone[by[:-1][again]] = False
+    single, several = np.flatnonzero(alone), np.flatnonzero(~alone)
+    out = [(single, np.zeros(len(single), np.int64), size[single] - LENGTH, low[single])]
     # the contexts of an anchor may be in several shards
-    shards, parts, at = [], [], 0
+    shards, parts, at, total = [], [], 0, np.append(0, np.cumsum(size[several]))
     while at < len(several):
-        take, total = at, 0
-        while take < len(several) and (take == at or total + len(texts[one[several[take]]]) <= SHARD_BYTES):
-            total += len(texts[one[several[take]]])
-            take += 1
+        take = max(at + 1, int(np.searchsorted(total, total[at] + SHARD_BYTES, "right")) - 1)
         part = several[at:take]
-        raw = [texts[one[g]] for g in part]
-        size = np.array([len(r) for r in raw])
-        shards.append(shard_strings(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size, low[part]))
-        parts.append((part, size))
+        raw = np.frombuffer(b"".join([texts[i] for i in one[part].tolist()]), np.uint8)
+        shards.append(shard_strings(raw, total[at:take] - total[at], size[part], low[part]))
+        parts.append((part, total[at:take] - total[at]))
         at = take
     merge_shards(shards)
-    for shard, (part, size) in zip(shards, parts, strict=True):
-        found = np.full(int(size.sum()), NO_ID)
+    for shard, (part, start) in zip(shards, parts, strict=True):
+        found = np.full(int(size[part].sum()), NO_ID)
         found[shard.order] = shard.least[shard.string]
-        for g, a, s in zip(part.tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
-            ids = found[a : a + s - LENGTH + 1]
-            edge = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-            runs[g] = [(int(x), int(y) - 1, int(ids[x])) for x, y in zip([0, *edge], [*edge, len(ids)], strict=True)]
-    return [runs[g] for g in same]
+        count = size[part] - LENGTH + 1
+        inner = _within(count)
+        ids, owner = found[np.repeat(start, count) + inner], np.repeat(part, count)
+        first = np.append(True, (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1]))
+        begin = np.flatnonzero(first)
+        out.append((owner[begin], inner[begin], inner[np.append(begin[1:], len(ids)) - 1], ids[begin]))
+    group, begin, end, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    by = np.argsort(group, kind="stable")
+    return Runs(same, np.searchsorted(group[by], np.arange(len(known) + 1)), begin[by], end[by], ids[by])
+
+
+def least_ids(keys: np.ndarray, lead: np.ndarray, texts: list[bytes], least: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """For each context the runs (from, to, id) of its strings and their least ids over all given contexts."""
+    r = least_runs(keys, lead, texts, least)
+    runs = list(zip(r.begin.tolist(), r.end.tolist(), r.least.tolist(), strict=True))
+    return [runs[r.edge[g] : r.edge[g + 1]] for g in r.group.tolist()]
 
 
 def answer_rows(rows: DataFrame, buckets: int) -> DataFrame:
@@ -518,12 +537,17 @@ def answer_rows(rows: DataFrame, buckets: int) -> DataFrame:
             end = np.cumsum(e["size"].astype(np.int64))
             texts += [raw[b - s : b] for b, s in zip(end.tolist(), e["size"].tolist(), strict=True)]
         entry = np.concatenate(entries)
-        found = least_ids(entry["key"], entry["lead"], texts, entry["least"])
-        out, at = [], 0
-        for e in entries:
-            lines = [(n, a, b, i) for n, most, runs in zip(e["name"].tolist(), e["most"].tolist(), found[at : at + len(e)], strict=True) for a, b, i in runs if i < most]
-            out.append(np.array(lines, RUN).tobytes())
-            at += len(e)
+        found = least_runs(entry["key"], entry["lead"], texts, entry["least"])
+        first = found.edge[found.group]
+        count = found.edge[found.group + 1] - first
+        line = np.repeat(first, count) + _within(count)
+        of = np.repeat(np.arange(len(entry)), count)
+        smaller = found.least[line] < entry["most"][of]
+        line, of = line[smaller], of[smaller]
+        answer = np.zeros(len(line), RUN)
+        answer["name"], answer["from"], answer["to"], answer["least"] = entry["name"][of], found.begin[line], found.end[line], found.least[line]
+        cut = np.searchsorted(of, np.cumsum([len(e) for e in entries]))
+        out = [x.tobytes() for x in np.split(answer, cut[:-1])]
         return pd.DataFrame({"block": pdf["block"], "runs": out})[[len(o) > 0 for o in out]]
 
     return rows.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, "block long, runs binary")
